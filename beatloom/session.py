@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Runtime SQL settings the library relies on.  Skewed joins must be split even
 # when that costs an extra exchange: one record may hold a third of all rows.
@@ -37,15 +39,44 @@ def is_small(df: DataFrame, limit: int = SMALL_SCAN_BYTES) -> bool:
     return planned_bytes(df) <= limit
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared scratch folder, ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` names the folder; a temporary one is used only
-    where the session names none, as in local tests.
+    A temporary one is set only where the session names none, as in tests.
     """
-    spark = df.sparkSession
     jsc = spark.sparkContext._jsc.sc()
-    if not jsc.getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="beatloom-ckpt-"))
+    if jsc.getCheckpointDir().isDefined():
+        return jsc.getCheckpointDir().get()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="beatloom-ckpt-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return jsc.getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint, for tables that loops keep returning to."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back.
+
+    Used where later steps need only some columns: unlike a checkpoint, the
+    written table keeps column pruning and true file sizes.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def attach(df: DataFrame, stats: DataFrame, keys: list[str], row_limit: int = 200_000) -> DataFrame:
+    """Join per-key ``stats`` of a few numbers each onto ``df``.
+
+    The statistics are counted first: up to ``row_limit`` rows (some 20 MB) are
+    broadcast, so that wide rows of ``df`` stay where they are; beyond that a
+    shuffled join, which adaptive execution splits on skewed keys.
+    """
+    fixed = written(stats)
+    if fixed.count() <= row_limit:
+        fixed = F.broadcast(fixed)
+    return df.join(fixed, keys, "left")
