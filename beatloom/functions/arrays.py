@@ -25,7 +25,8 @@ def span(y: Column, start: Column, stop: Column) -> Column:
     """Half-open slice ``[start, stop)`` clamped to the array."""
     lo = F.greatest(start, F.lit(0))
     hi = F.least(stop, F.size(y))
-    return F.slice(y, (lo + 1).cast("int"), F.greatest(hi - lo, F.lit(0)).cast("int"))
+    cut = F.slice(y, (lo + 1).cast("int"), F.greatest(hi - lo, F.lit(0)).cast("int"))
+    return F.when(start.isNotNull() & stop.isNotNull(), cut)  # greatest and least skip NULLs
 
 
 def total(y: Column) -> Column:
@@ -250,25 +251,28 @@ def rolling_deviation(y: Column) -> Column:
     return let(let(y, off), again)
 
 
-def smooth5(y: Column) -> Column:
-    """Five-point quadratic Savitzky-Golay smoothing; the two samples at each
-    end take the value of the parabola fitted to the outer five."""
-    n = F.size(y)
-    # fixed weights (over 35): rows are the fit evaluated at points 0, 1, 2 of five
-    first, second, centre = [31, 9, -3, -5, 3], [9, 13, 12, 6, -5], [-3, 12, 17, 12, -3]
-
-    def dot(weights: list[int], start: Column) -> Column:
-        return sum((F.get(y, start + k) * float(w) for k, w in enumerate(weights)), F.lit(0.0)) / 35.0
-
-    tail = n - 5
-    smoothed = F.transform(y, lambda v, i: (
-        F.when(i == 0, dot(first, F.lit(0)))
-        .when(i == 1, dot(second, F.lit(0)))
-        .when(i == n - 1, dot(first[::-1], tail))
-        .when(i == n - 2, dot(second[::-1], tail))
-        .otherwise(dot(centre, i - 2))
-    ))
-    return F.when(n >= 5, smoothed).otherwise(y)
+def savgol(y: Column, width: int, degree: int) -> Column:
+    """Savitzky-Golay smoothing; the half window at each end takes the value of
+    the polynomial fitted to the outermost window.  Shorter arrays are kept."""
+    from beatloom.functions.dsp import smoothing_weights
+
+    weights, half = smoothing_weights(width, degree), width // 2
+
+    def dot(row: int, a: Column, start: Column) -> Column:
+        return sum((F.get(a, start + k) * float(w) for k, w in enumerate(weights[row])), F.lit(0.0))
+
+    def smooth(a: Column) -> Column:
+        n = F.size(a)
+
+        def sample(v: Column, i: Column) -> Column:
+            out = F.when((i >= half) & (i < n - half), dot(half, a, i - half))
+            for k in range(half):
+                out = out.when(i == k, dot(k, a, F.lit(0))).when(i == n - 1 - k, dot(width - 1 - k, a, n - width))
+            return out
+
+        return F.when(n >= width, F.transform(a, sample)).otherwise(a)
+
+    return let(y, smooth)
 
 
 def gaussians(x: Column, waves: Column) -> Column:

@@ -12,7 +12,7 @@ PRE_J_MS = 50.0
 
 
 def st_features(
-    y: Column, s_ri: Column, t_le: Column, p_ri: Column, q_le: Column, fs: float,
+    y: Column, s_ri: Column, t_le: Column, p_ri: Column, q_le: Column, fs: Column | float,
     j_offset_ms: float = J_OFFSET_MS,
 ) -> Column:
     """``struct(ST_elevation_mv, ST_slope_mv_per_s, ST_deviation_mv)``.
@@ -24,17 +24,18 @@ def st_features(
     inside = lambda i: (i >= 0) & (i < n)
     valid = inside(s_ri) & inside(t_le) & (s_ri < t_le)
     pr_ok = inside(p_ri) & inside(q_le) & (p_ri < q_le)
-    lead = round(PRE_J_MS * fs / 1000)
+    samples = lambda ms: F.bround(F.lit(ms) * F.lit(fs) / 1000).cast("int")
+    lead = samples(PRE_J_MS)
     baseline = F.coalesce(
         F.when(pr_ok, A.median(A.span(y, p_ri, q_le + 1))),
         F.when(s_ri > 0, A.median(A.span(y, s_ri - lead, s_ri))),
         A.median(y),
     )
-    segment = A.let(A.span(y, s_ri, t_le + 1), A.smooth5)
-    point = F.least(F.lit(round(j_offset_ms * fs / 1000)), t_le - s_ri)
+    segment = A.savgol(A.span(y, s_ri, t_le + 1), 5, 2)
+    point = F.least(samples(j_offset_ms), t_le - s_ri)
     parts = A.let(segment, lambda s: F.struct(
         F.get(s, point).alias("ST_elevation_mv"),
-        (A.line_slope(s) * fs).alias("ST_slope_mv_per_s"),
+        (A.line_slope(s) * F.lit(fs)).alias("ST_slope_mv_per_s"),
         (F.get(s, point) - baseline).alias("ST_deviation_mv"),
     ))
     return F.when(valid, parts)
