@@ -69,6 +69,17 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread_over(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash-partition by ``keys`` into a fixed number of partitions.
+
+    For rows that are few and small but costly to process: adaptive execution
+    would merge their partitions by bytes and leave cores idle.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def attach(df: DataFrame, stats: DataFrame, keys: list[str], row_limit: int = 200_000) -> DataFrame:
     """Join per-key ``stats`` of a few numbers each onto ``df``.
 
