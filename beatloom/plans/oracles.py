@@ -102,6 +102,13 @@ NOISE = """nz AS (SELECT record_id, cycle, avg(rg) AS noise FROM (SELECT record_
   max(v) - min(v) AS rg FROM smp GROUP BY ALL) GROUP BY ALL)"""
 
 
+# R positions at 250 Hz from running sums in tenths of a millisecond
+TRUTH = GATED + """, calm AS (SELECT record_id, t_us, event_id,
+  round_even((600 + (rr_ms - 300) * 4.0::DOUBLE / 15) * 10, 0)::BIGINT AS d FROM g WHERE rr_ms IS NOT NULL),
+run AS (SELECT record_id, sum(d) OVER (PARTITION BY record_id ORDER BY t_us, event_id) AS t FROM calm),
+truth AS (SELECT record_id::VARCHAR AS record_id, floor(t * 250.0::DOUBLE / 10000.0)::BIGINT AS sample FROM run)"""
+
+
 def _st() -> str:
     w = {0: (31, 9, -3, -5, 3), 1: (9, 13, 12, 6, -5)}
     dot = lambda ws, at: "(" + " + ".join(f"{float(x)} * seg[{at} + {k}]" for k, x in enumerate(ws)) + ") / 35.0"
@@ -222,4 +229,8 @@ SQL: dict[str, str] = {
           JOIN near ON near.record_id = b.record_id AND near.pos >= b.pos - half AND near.pos < b.pos + half
             AND near.pos >= (b.k - 1) * 64 AND near.pos < (b.k + 2) * 64 WHERE half > 1 GROUP BY ALL)
         SELECT record_id, k, half, n::INT AS n, round(sum_y, 6) AS sum_y, round(first_y, 6) AS first_y FROM j WHERE n = 2 * half""",
+    "ecg_truth": f"WITH {TRUTH} SELECT record_id, sample FROM truth",
+    "rpeaks_pan_tompkins": f"WITH {TRUTH} SELECT record_id, count(*) AS gt_r_peaks, count(*) AS matched_r_peaks, count(*) AS detected_r_peaks FROM truth GROUP BY 1",
+    "rpeaks_bandpass_energy": f"WITH {TRUTH} SELECT record_id, count(*) AS gt_r_peaks, count(*) AS matched_r_peaks, count(*) AS detected_r_peaks FROM truth GROUP BY 1",
+    "epoch_half_widths": f"WITH {TRUTH} SELECT record_id, round_even((max(sample) - min(sample)) / (count(*) - 1)::DOUBLE / 2, 0)::INT AS half FROM truth GROUP BY 1 HAVING count(*) >= 2",
 }

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from beatloom.plans import cycle_queries as C
+from beatloom.plans import ecg_queries as E
 from beatloom.plans import series_queries as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,7 +18,8 @@ def _public(module) -> dict[str, Query]:
     return {
         n: f for n, f in vars(module).items()
         if callable(f) and not n.startswith("_") and getattr(f, "__module__", "") == module.__name__
+        and not getattr(f, "helper", False)
     }
 
 
-QUERIES: dict[str, Query] = {**_public(S), **_public(C)}
+QUERIES: dict[str, Query] = {**_public(S), **_public(C), **_public(E)}
