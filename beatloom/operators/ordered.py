@@ -151,7 +151,7 @@ def sequence(
     axis: str | None = None,
     slice_width: float | None = None,
     small: bool | None = None,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int | None = None,
 ) -> Sequence:
     """Describe an ordered sequence.
 
@@ -169,6 +169,8 @@ def sequence(
     if slice_width is not None:
         cut = F.floor(F.col(axis) / F.lit(float(slice_width)))
         return Sequence(df.withColumn(SLICE, cut), tuple(keys), tuple(order), sliced=True)
+    if rows_per_slice is None:
+        rows_per_slice = int(df.sparkSession.conf.get("beatloom.rowsPerSlice", str(ROWS_PER_SLICE)))
     parts = min(-(-df.count() // rows_per_slice), MAX_SLICES)
     bounds = df.approxQuantile(axis, [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else []
     splits = [-math.inf, *sorted(set(bounds)), math.inf]

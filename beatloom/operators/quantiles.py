@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from beatloom.session import cut_lineage
 
 FAN_OUT = 1024
+MAX_PLAIN_VALUES = 2_000_000  # values in all groups together that one task may hold
 
 
 def percentiles(
@@ -27,11 +28,10 @@ def percentiles(
     per group, and the answer is exact.
     """
     if small:
-        return (
-            df.where(F.col(value).isNotNull())
-            .groupBy(*keys)
-            .agg(*[F.percentile(value, F.lit(p)).alias(n) for n, p in probs.items()])
-        )
+        # one aggregate for all: it keeps a single map of the group's values
+        wanted = F.percentile(value, F.array(*[F.lit(float(p)) for p in probs.values()])).alias("_q")
+        found = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(wanted)
+        return found.select(*keys, *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(probs)])
     counts = cut_lineage(
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))

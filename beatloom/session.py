@@ -35,7 +35,10 @@ def planned_bytes(df: DataFrame) -> int:
     return int(str(stats.sizeInBytes()))
 
 
-def is_small(df: DataFrame, limit: int = SMALL_SCAN_BYTES) -> bool:
+def is_small(df: DataFrame) -> bool:
+    """Whether a scan may take the one-pass plans; the session setting
+    ``beatloom.smallScanBytes`` overrides the limit."""
+    limit = int(df.sparkSession.conf.get("beatloom.smallScanBytes", str(SMALL_SCAN_BYTES)))
     return planned_bytes(df) <= limit
 
 
