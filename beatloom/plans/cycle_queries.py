@@ -10,7 +10,9 @@ from beatloom.functions import intervals as I
 from beatloom.functions import shape as S
 from beatloom.functions.st_segment import st_features as st_struct
 from beatloom.operators import template as TP
+from beatloom.operators.quantiles import percentiles
 from beatloom.plans import tables as T
+from beatloom.session import is_small
 
 FS = T.NOMINAL_FS
 REACH = 38  # 150 ms at the nominal rate
@@ -296,3 +298,39 @@ def epoch_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "epoch", A.span(F.col("_all"), F.col("_r") - F.col("half"), F.col("_r") + F.col("half")))
     return cut.select("record_id", F.col("at").alias("k"), "half", F.size("epoch").alias("n"),
                       _r(A.total(F.col("epoch")), "sum_y"), _r(F.get("epoch", F.lit(0)), "first_y"))
+
+
+def max_slope_before_r(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steepest step in the 80 ms up to R, and its share of the cycle's."""
+    c = _with_r(spark, sf_dir).withColumn("g", F.transform(A.gradient(_y()), F.abs))
+    steep = F.array_max(A.span(F.col("g"), _at_r() - 20, _at_r() + 1))
+    return c.select("record_id", "cycle", _r(steep, "max_slope"), _r(F.try_divide(steep, F.array_max("g")), "share"))
+
+
+def adaptive_prominence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prominence threshold 2.5 MAD, relaxed by sensitivity level."""
+    base = 2.5 * A.mad_sigma(_y())
+    return T.cycles(spark, sf_dir).select(
+        "record_id", "cycle", *[_r(base * k, n) for n, k in (("standard", 1.0), ("high", 0.75), ("maximum", 0.6))])
+
+
+def gaussian_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-wave model from the detected trough, crest and trough, and how well
+    it explains the cycle before any fitting."""
+    c = _with_r(spark, sf_dir).withColumns(
+        {"q": A.trough_before(_y(), _at_r(), REACH), "s": A.trough_after(_y(), _at_r(), _at_r() + REACH)})
+    wave = lambda i: F.struct(i.cast("double").alias("center"), A.at(_y(), i).alias("height"), F.lit(2.5).alias("sigma"))
+    c = c.withColumn("waves", F.filter(F.array(wave(F.col("q")), wave(_at_r()), wave(F.col("s"))), lambda w: w["center"].isNotNull()))
+    c = c.withColumn("model", F.transform(_y(), lambda v, i: A.gaussians(i.cast("double"), F.col("waves"))))
+    return c.select("record_id", "cycle", _r(A.rmse(_y(), F.col("model")), "rmse"), _r(A.total(F.col("model")), "area"))
+
+
+def dynamic_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Room around the QRS in samples: 1-60 ms by the cycle's share of the 95th
+    percentile of its record's slope energy."""
+    e = T.cycles(spark, sf_dir).select("record_id", "cycle", A.mean(F.transform(A.gradient(_y()), F.abs)).alias("energy"))
+    top = percentiles(e, ["record_id"], "energy", {"top": 0.95}, is_small(T.read(spark, sf_dir, "embeddings")))
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("energy") / F.col("top")))
+    out = e.join(top, "record_id")
+    return out.select("record_id", "cycle", _r(share, "share"),
+                      F.bround((1 + 59 * share) * FS / 1000).cast("int").alias("offset_samples"))

@@ -102,6 +102,8 @@ NOISE = """nz AS (SELECT record_id, cycle, avg(rg) AS noise FROM (SELECT record_
   max(v) - min(v) AS rg FROM smp GROUP BY ALL) GROUP BY ALL)"""
 
 
+GRAD = RPK + """, g AS (SELECT record_id, cycle, i, (lead(v, 1, v) OVER w - lag(v, 1, v) OVER w)
+  / CASE WHEN i IN (0, 63) THEN 1.0::DOUBLE ELSE 2.0 END AS d FROM smp WINDOW w AS (PARTITION BY cycle ORDER BY i))"""
 # R positions at 250 Hz from running sums in tenths of a millisecond
 TRUTH = GATED + """, calm AS (SELECT record_id, t_us, event_id,
   round_even((600 + (rr_ms - 300) * 4.0::DOUBLE / 15) * 10, 0)::BIGINT AS d FROM g WHERE rr_ms IS NOT NULL),
@@ -229,6 +231,14 @@ SQL: dict[str, str] = {
           JOIN near ON near.record_id = b.record_id AND near.pos >= b.pos - half AND near.pos < b.pos + half
             AND near.pos >= (b.k - 1) * 64 AND near.pos < (b.k + 2) * 64 WHERE half > 1 GROUP BY ALL)
         SELECT record_id, k, half, n::INT AS n, round(sum_y, 6) AS sum_y, round(first_y, 6) AS first_y FROM j WHERE n = 2 * half""",
+    "max_slope_before_r": f"WITH {GRAD} SELECT rp.record_id, rp.cycle, round(max(abs(d)) FILTER (WHERE i >= r - 20 AND i <= r), 6) AS max_slope, "
+        "round(max(abs(d)) FILTER (WHERE i >= r - 20 AND i <= r) / max(abs(d)), 6) AS share FROM rp JOIN g USING (record_id, cycle) GROUP BY rp.record_id, rp.cycle",
+    "adaptive_prominence": f"WITH {SMP}, m AS (SELECT record_id, cycle, 2.5::DOUBLE * 1.4826::DOUBLE * mad(v) AS b FROM smp GROUP BY ALL) SELECT record_id, cycle, round(b, 6) AS standard, round(b * 0.75::DOUBLE, 6) AS high, round(b * 0.6::DOUBLE, 6) AS maximum FROM m",
+    "gaussian_model": f"WITH {QS}, mo AS (SELECT s.record_id, s.cycle, s.v, coalesce(qv * exp(-(s.i - q) * (s.i - q) / 12.5::DOUBLE), 0) + h * exp(-(s.i - r) * (s.i - r) / 12.5::DOUBLE) "
+        "+ coalesce(sv * exp(-(s.i - qs.s) * (s.i - qs.s) / 12.5::DOUBLE), 0) AS f FROM smp s JOIN qs ON qs.record_id = s.record_id AND qs.cycle = s.cycle) "
+        "SELECT record_id, cycle, round(sqrt(avg((v - f) * (v - f))), 6) AS rmse, round(sum(f), 6) AS area FROM mo GROUP BY ALL",
+    "dynamic_offset": f"WITH {GRAD}, e AS (SELECT record_id, cycle, avg(abs(d)) AS en FROM g GROUP BY ALL), t AS (SELECT record_id, quantile_cont(en, 0.95) AS top FROM e GROUP BY ALL), "
+        "x AS (SELECT record_id, cycle, greatest(0, least(1, en / top)) AS sh FROM e JOIN t USING (record_id)) SELECT record_id, cycle, round(sh, 6) AS share, round_even((1 + 59 * sh) * 250 / 1000, 0)::INT AS offset_samples FROM x",
     "ecg_truth": f"WITH {TRUTH} SELECT record_id, sample FROM truth",
     "rpeaks_pan_tompkins": f"WITH {TRUTH} SELECT record_id, count(*) AS gt_r_peaks, count(*) AS matched_r_peaks, count(*) AS detected_r_peaks FROM truth GROUP BY 1",
     "rpeaks_bandpass_energy": f"WITH {TRUTH} SELECT record_id, count(*) AS gt_r_peaks, count(*) AS matched_r_peaks, count(*) AS detected_r_peaks FROM truth GROUP BY 1",
