@@ -76,6 +76,17 @@ rates AS (SELECT pt.record_id, n_truth, n_hit, coalesce(n_found, 0) AS n_found,
   round(n_hit * 100.0::DOUBLE / n_truth, 6) AS detection_rate,
   coalesce(round(n_hit * 100.0::DOUBLE / nullif(n_found, 0), 6), 0) AS "precision"
   FROM pt LEFT JOIN pf USING (record_id))"""
+# closest-first greedy pairing, one pair of a record after another
+GREEDY = MATCH + f""", tt AS (SELECT DISTINCT record_id, t_us AS a FROM t), dd AS (SELECT DISTINCT record_id, t_us AS b FROM d),
+pairs AS (SELECT record_id, a, b, row_number() OVER (PARTITION BY record_id ORDER BY abs(a - b), a, b) AS k
+  FROM tt JOIN dd USING (record_id) WHERE b BETWEEN a - {TOL} AND a + {TOL}),
+walk AS (SELECT DISTINCT record_id, 0::BIGINT AS k, []::BIGINT[] AS ua, []::BIGINT[] AS ub FROM pairs
+  UNION ALL SELECT p.record_id, p.k,
+    CASE WHEN list_contains(ua, a) OR list_contains(ub, b) THEN ua ELSE list_append(ua, a) END,
+    CASE WHEN list_contains(ua, a) OR list_contains(ub, b) THEN ub ELSE list_append(ub, b) END
+  FROM walk w JOIN pairs p ON p.record_id = w.record_id AND p.k = w.k + 1),
+fin AS (SELECT record_id, arg_max(ua, k) AS ua, arg_max(ub, k) AS ub FROM walk GROUP BY 1),
+m AS (SELECT record_id, unnest(ua) AS truth_at, unnest(ub) AS found_at FROM fin)"""
 AGG_STATS = ("mean", "std", "median", "min", "max", "count")
 
 
@@ -231,6 +242,13 @@ SQL: dict[str, str] = {
           JOIN near ON near.record_id = b.record_id AND near.pos >= b.pos - half AND near.pos < b.pos + half
             AND near.pos >= (b.k - 1) * 64 AND near.pos < (b.k + 2) * 64 WHERE half > 1 GROUP BY ALL)
         SELECT record_id, k, half, n::INT AS n, round(sum_y, 6) AS sum_y, round(first_y, 6) AS first_y FROM j WHERE n = 2 * half""",
+    "greedy_match": f"WITH RECURSIVE {GREEDY} SELECT record_id, truth_at, found_at, abs(found_at - truth_at) AS distance FROM m",
+    "recall_precision": f"WITH RECURSIVE {GREEDY}, c AS (SELECT coalesce(x.record_id, y.record_id) AS record_id, coalesce(nt, 0) AS nt, coalesce(nf, 0) AS nf "
+        "FROM (SELECT record_id, count(*) AS nt FROM tt GROUP BY 1) x FULL JOIN (SELECT record_id, count(*) AS nf FROM dd GROUP BY 1) y ON x.record_id = y.record_id), "
+        "g AS (SELECT record_id, count(*) AS nm, avg(abs(found_at - truth_at) / 60e6) AS mae, median(abs(found_at - truth_at) / 60e6) AS med FROM m GROUP BY 1), "
+        "z AS (SELECT c.*, coalesce(nm, 0) AS nm, mae, med, coalesce(coalesce(nm, 0) * 100.0::DOUBLE / nullif(nf, 0), 0) AS pr, coalesce(coalesce(nm, 0) * 100.0::DOUBLE / nullif(nt, 0), 0) AS re FROM c LEFT JOIN g USING (record_id)) "
+        "SELECT record_id, round(pr, 6) AS \"precision\", round(re, 6) AS recall, round(coalesce(2 * pr * re / nullif(pr + re, 0), 0), 6) AS f1, nm AS true_positives, nf - nm AS false_positives, nt - nm AS false_negatives, "
+        "round(mae, 6) AS mae, round(med, 6) AS median_ae FROM z",
     "max_slope_before_r": f"WITH {GRAD} SELECT rp.record_id, rp.cycle, round(max(abs(d)) FILTER (WHERE i >= r - 20 AND i <= r), 6) AS max_slope, "
         "round(max(abs(d)) FILTER (WHERE i >= r - 20 AND i <= r) / max(abs(d)), 6) AS share FROM rp JOIN g USING (record_id, cycle) GROUP BY rp.record_id, rp.cycle",
     "adaptive_prominence": f"WITH {SMP}, m AS (SELECT record_id, cycle, 2.5::DOUBLE * 1.4826::DOUBLE * mad(v) AS b FROM smp GROUP BY ALL) SELECT record_id, cycle, round(b, 6) AS standard, round(b * 0.75::DOUBLE, 6) AS high, round(b * 0.6::DOUBLE, 6) AS maximum FROM m",
