@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from beatloom.session import cut_lineage
@@ -93,11 +93,3 @@ def _narrow(counts: DataFrame, ranks: DataFrame, keys: list[str]) -> DataFrame:
         .select(*keys, "_rank", "_lo", "_hi", "_skip")
     )
     return picked.unionByName(closed)
-
-
-def interpolated(sorted_array: Column, prob: float) -> Column:
-    """Percentile of an ascending array column (bounded arrays only)."""
-    at = F.lit(float(prob)) * (F.size(sorted_array) - 1)
-    low = F.try_element_at(sorted_array, (F.floor(at) + 1).cast("int"))
-    high = F.try_element_at(sorted_array, (F.ceil(at) + 1).cast("int"))
-    return low + (high - low) * (at - F.floor(at))
