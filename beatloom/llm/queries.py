@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from beatloom.llm import sharding
+from beatloom.llm import bpe, sharding
 from beatloom.llm.store import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +20,22 @@ def _query(f):
     return f
 
 
+def byte_bpe() -> bpe.Tokenizer:
+    return bpe.Tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@_query
+def op6_byte_bpe(spark, sf_dir):
+    tokenizer = byte_bpe()
+    encoded = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer)
+    return bpe.decode(encoded, tokenizer).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
+
+
 @_query
 def op7_sharding(spark, sf_dir):
     return sharding.shuffle_to_shards(read(spark, sf_dir, "documents"), 8)
