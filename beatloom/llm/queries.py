@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beatloom.llm import bpe, chat, sharding
-from beatloom.llm.store import read
+from beatloom.llm import bpe, chat, quality_rules, sharding
+from beatloom.llm.store import read, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -55,3 +55,51 @@ def op9_chat_format(spark, sf_dir):
         F.length("trained").cast("long").alias("loss_chars"), F.sha2("trained", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@_query
+def op8_quality_rules(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    measured = stored(quality_rules.with_measures(docs).drop("text"), "measured")
+    return quality_rules.judged(measured).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "n_lines", "n_capitals", "host_flagged",
+    )
+
+
+SQL["op8_quality_rules"] = r"""
+WITH words AS (
+  SELECT doc_id, source, coalesce(text, '') AS text,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents),
+places AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM words WHERE len(w) >= 3),
+seen AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c FROM places),
+gaps AS (SELECT doc_id, least(3, i - lag(i, 1, -9) OVER (PARTITION BY doc_id ORDER BY i)) AS g FROM seen WHERE c > 1),
+repeats AS (SELECT doc_id, sum(g) AS n FROM gaps GROUP BY doc_id),
+measured AS (
+  SELECT doc_id, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+         coalesce(n, 0)::BIGINT AS n_repeat_words,
+         (length(text) - length(regexp_replace(text, '[A-Z\x{C0}-\x{D6}\x{D8}-\x{DE}]', '', 'g')))::BIGINT AS n_capitals
+  FROM words LEFT JOIN repeats USING (doc_id)),
+based AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured),
+failed AS (
+  SELECT source, doc_id, u.rule, u.strict, u.loose FROM based,
+  LATERAL (VALUES ('symbols', 100 * n_symbols > 10 * n_words, 100 * n_symbols > 30 * n_words),
+                  ('lines', 100 * n_dup_lines > 30 * n_lines, 100 * n_dup_lines > 60 * n_lines),
+                  ('capitals', 100 * n_capitals > 30 * word_chars, 100 * n_capitals > 60 * word_chars)) u(rule, strict, loose)),
+hosts AS (SELECT source, rule, count(*)::DOUBLE AS n, count(*) FILTER (strict)::DOUBLE AS f FROM failed GROUP BY ALL),
+sums AS (SELECT rule, count(*) AS h, sum(n) AS n, sum(n * n) AS nn, sum(f) / sum(n) AS m, sum(f * f / n) AS sq FROM hosts GROUP BY rule),
+rho AS (SELECT *, CASE WHEN m > 0 AND m < 1 AND h > 1 AND n - nn / n - h + 1 > 0
+                  THEN (sq - n * m * m - m * (1 - m) * (h - 1)) / (m * (1 - m) * (n - nn / n - h + 1)) ELSE 0 END AS r FROM sums),
+prior AS (SELECT rule, m, CASE WHEN r > 0 THEN least(1e6, greatest(1 / r - 1, 0)) ELSE 1e6 END AS s FROM rho),
+verdict AS (SELECT source, rule, (f + m * s) / (n + s) > 0.2 AS strict_host FROM hosts JOIN prior USING (rule)),
+final AS (
+  SELECT doc_id, bool_or(f.loose OR (v.strict_host AND f.strict)) AS bad, bool_or(v.strict_host) AS host_flagged
+  FROM failed f JOIN verdict v ON f.rule = v.rule AND f.source IS NOT DISTINCT FROM v.source GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR bad) AS kept, n_lines, n_capitals, host_flagged
+FROM based JOIN final USING (doc_id)
+"""
