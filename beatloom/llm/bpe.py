@@ -18,7 +18,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 
 NONE = np.int32(2**31 - 1)
 WIDEST = 1024          # bytes of the widest bucket
-BLOCK_CHARS = 2_000_000  # characters split into pieces at once
-CACHE_PIECES = 1 << 18   # encoded pieces a worker remembers
+BLOCK_CHARS = 1_000_000  # characters split into pieces at once
+CACHE_PIECES = 1 << 17   # encoded pieces a worker remembers
+CELLS = 1 << 18          # entries of one matrix
 MAX_VOCABULARY = 64 << 20  # bytes of a rank file that is sent to the tasks
 
 
@@ -83,14 +84,21 @@ class Codec:
         self.rank = {base64.b64decode(token): int(number) for token, number in lines}
         self.pattern = regex.compile(pattern)
         self.token = {number: token for token, number in self.rank.items()}
-        self.byte_id = np.array([self.rank[bytes([b])] for b in range(256)], dtype=np.int32)
-        pairs = [
-            (self.rank[t[:k]], self.rank[t[k:]], number)
+        self.cache: dict[str, bytes] = {}
+
+    @cached_property
+    def byte_id(self) -> np.ndarray:
+        return np.array([self.rank[bytes([b])] for b in range(256)], dtype=np.int32)
+
+    @cached_property
+    def pairs(self) -> PairTable:
+        """Every pair of ids whose bytes together are a token."""
+        found = [
+            (left, right, number)
             for t, number in self.rank.items() for k in range(1, len(t))
-            if t[:k] in self.rank and t[k:] in self.rank
+            if (left := self.rank.get(t[:k])) is not None and (right := self.rank.get(t[k:])) is not None
         ]
-        self.pairs = PairTable(*np.array(pairs or np.empty((0, 3)), dtype=np.int32).T)
-        self.cache: dict[str, bytes] = {}
+        return PairTable(*np.array(found or np.empty((0, 3)), dtype=np.int32).T)
 
     def _merge_rows(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(row numbers, their final ids padded with -1), as rows finish."""
@@ -159,8 +167,8 @@ class Codec:
         while True:
             low, top = (top // 2 if top > 1 else 0), top
             chosen = np.flatnonzero((sizes > low) & (sizes <= top))
-            for start in range(0, len(chosen), max(1, (1 << 21) // top)):
-                part = chosen[start : start + max(1, (1 << 21) // top)]
+            for start in range(0, len(chosen), max(1, CELLS // top)):
+                part = chosen[start : start + max(1, CELLS // top)]
                 block = np.frombuffer(b"".join(raw[i].ljust(top, b"\0") for i in part), dtype=np.uint8)
                 ids = self.byte_id[block.reshape(len(part), top)]
                 ids[np.arange(top) >= sizes[part, None]] = -1
@@ -182,7 +190,7 @@ class Codec:
         split = [self.pattern.findall(t) if t else [] for t in texts]
         if len(self.cache) > CACHE_PIECES:
             self.cache.clear()
-        new = list({p for pieces in split for p in pieces if p not in self.cache})
+        new = list(set().union(*split).difference(self.cache))
         self.cache.update(zip(new, self.encode_pieces(new)))
         look = self.cache.__getitem__
         return [np.frombuffer(b"".join(map(look, pieces)), dtype="<i4") for pieces in split]
@@ -232,6 +240,19 @@ class Tokenizer:
         encode.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
         return F.pandas_udf(encode, "array<int>")(text)
 
+    def round_trip(self, text: Column | str) -> Column:
+        """struct<ids, decoded>: a text column encoded, and the ids decoded."""
+        own = self
+
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            work = own.codec()
+            for texts in batches:
+                ids = work.encode_blocks(texts)
+                yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series([work.decode(x) for x in ids], dtype=object)})
+
+        run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+        return F.pandas_udf(run, "ids array<int>, decoded binary")(text)
+
     def count(self, text: Column | str) -> Column:
         """Number of ids of a text column."""
         own = self

@@ -26,9 +26,8 @@ def byte_bpe() -> bpe.Tokenizer:
 
 @_query
 def op6_byte_bpe(spark, sf_dir):
-    tokenizer = byte_bpe()
-    encoded = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer)
-    return bpe.decode(encoded, tokenizer).select(
+    docs = read(spark, sf_dir, "documents")
+    return docs.select("doc_id", byte_bpe().round_trip("text").alias("t")).select("doc_id", "t.ids", "t.decoded").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
