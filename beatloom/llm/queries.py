@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beatloom.llm import bpe, chat, quality_rules, sharding
+from beatloom.llm import bpe, chat, quality_rules, quality_trees, sharding
 from beatloom.llm.store import read, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,17 @@ def byte_bpe() -> bpe.Tokenizer:
     return bpe.Tokenizer(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@_query
+def op3_quality_trees(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    described = stored(quality_trees.with_statistics(docs).drop("text"), "statistics")
+    forest = quality_trees.train(described, read(spark, sf_dir, "labels"), "quality")
+    return quality_trees.score(described, forest).select(
+        "doc_id", quality_trees.held_out(F.col("doc_id")).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
+    )
+
+
 @_query
 def op6_byte_bpe(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
