@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beatloom.llm import bpe, chat, quality_rules, quality_trees, sharding
+from beatloom.llm import bpe, chat, quality_rules, quality_trees, sharding, toxicity
 from beatloom.llm.store import read, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,16 @@ def op3_quality_trees(spark, sf_dir):
     )
 
 
+@_query
+def op4_toxicity_chain(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.train(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, chain).select(
+        "doc_id", *[F.col(f"toxicity.{c}").alias(f"p_{c}") for c in toxicity.CATEGORIES], "toxicity.n_marked",
+        (F.col("toxicity.toxic") >= 0.5).alias("toxic"),
+    )
+
+
 @_query
 def op6_byte_bpe(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")

@@ -10,8 +10,21 @@ from pyspark.sql import functions as F
 from beatloom.session import shared_folder, tune
 
 
+# Batches to and from Python are bounded in bytes: texts differ much in length.
+BATCH_CONF = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    for key, value in BATCH_CONF.items():
+        spark.conf.set(key, value)
+    return tune(spark)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def fresh_folder(spark: SparkSession, label: str) -> str:
