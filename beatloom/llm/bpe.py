@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 NONE = np.int32(2**31 - 1)
 WIDEST = 1024          # bytes of the widest bucket
-BLOCK_CHARS = 1_000_000  # characters split into pieces at once
+BLOCK_CHARS = 500_000  # characters split into pieces at once
 CACHE_PIECES = 1 << 17   # encoded pieces a worker remembers
 CELLS = 1 << 18          # entries of one matrix
 MAX_VOCABULARY = 64 << 20  # bytes of a rank file that is sent to the tasks
@@ -163,9 +163,12 @@ class Codec:
         raw = [p.encode("utf-8") for p in pieces]
         sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
         out: list[bytes] = [b""] * len(raw)
+        for i, piece in enumerate(raw):  # a piece that is a token is that token
+            if (whole := self.rank.get(piece)) is not None:
+                out[i], sizes[i] = whole.to_bytes(4, "little"), 0
         top = 1
         while True:
-            low, top = (top // 2 if top > 1 else 0), top
+            low = top // 2
             chosen = np.flatnonzero((sizes > low) & (sizes <= top))
             for start in range(0, len(chosen), max(1, CELLS // top)):
                 part = chosen[start : start + max(1, CELLS // top)]

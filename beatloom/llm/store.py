@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 from beatloom.session import shared_folder, tune
 
 
-# Batches to and from Python are bounded in bytes: texts differ much in length.
+# Small batches to and from Python: some texts are very long.
 BATCH_CONF = {
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 
