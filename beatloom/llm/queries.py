@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beatloom.llm import bpe, chat, decontaminate, quality_rules, quality_trees, sharding, toxicity
+from beatloom.llm import bpe, chat, decontaminate, near_duplicates, quality_rules, quality_trees, sharding, toxicity
 from beatloom.llm.store import read, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,3 +158,9 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT (base_failed OR bad) AS kept, n_lines, n_capitals, host_flagged
 FROM based JOIN final USING (doc_id)
 """
+
+
+@_query
+def op10_dart_minhash(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates.classes(docs).select("doc_id", "class_id", "n_class", "keep")
