@@ -28,8 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from beatloom.llm import words
+from beatloom.llm.store import stored
 
-SAMPLE = 3_000      # labelled rows of each kind used in training, at most
+SAMPLE = 2_000      # labelled rows of each kind used in training, at most
 VOCABULARY = 1_000  # terms kept, by the size of their z score
 PREFIXES = (4, 5)   # bytes of the word beginnings that are terms too
 FOLDS = 4
@@ -138,70 +139,83 @@ class Chain:
         return np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made])
 
 
-def fit_chain(hashes: np.ndarray, owner: np.ndarray, part: np.ndarray, toxic: np.ndarray) -> Chain:
-    """A chain from the words of labelled texts and their labels."""
-    n = len(toxic)
-    if not n or toxic.min() == toxic.max():
-        share = float(toxic.mean()) if n else 0.0
-        plain = Linear(np.zeros(0), float(np.log(max(share, 1e-3) / max(1 - share, 1e-3))))
-        models = [Linear(np.zeros(2 + k), plain.bias) for k in range(len(CATEGORIES))]
-        return Chain(np.empty(0, np.uint64), np.empty(0, bool), models)
-    order = np.lexsort((owner, hashes))
-    sorted_hashes, sorted_owner = hashes[order], owner[order]
-    first = np.ones(len(order), dtype=bool)  # each text counts a term once
-    first[1:] = (sorted_hashes[1:] != sorted_hashes[:-1]) | (sorted_owner[1:] != sorted_owner[:-1])
-    kinds, place = np.unique(sorted_hashes[first], return_inverse=True)
-    mark = toxic[sorted_owner[first]] > 0
-    bad, good = (np.bincount(place[m], minlength=len(kinds)) for m in (mark, ~mark))
-    rate = (bad + 0.5) / (toxic.sum() + 1), (good + 0.5) / (n - toxic.sum() + 1)
-    z = (np.log(rate[0]) - np.log(rate[1])) / np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))
-    often = np.flatnonzero(bad + good >= 5)
-    chosen = np.sort(often[np.argsort(-np.abs(z[often]), kind="stable")[:VOCABULARY]])
-    ratio = rate[0] / rate[1]
-    chain = Chain(kinds[chosen], (z[chosen] > 4) & (ratio[chosen] > 10) & (bad[chosen] > 0.02 * toxic.sum()))
-    f = chain.features(hashes, owner, part, n)
-    x, share = chain.inputs(*f), f[1] / np.maximum(f[3], 1)
+def prior(share: float) -> Chain:
+    """The chain of a table whose training rows are all of one kind."""
+    bias = float(np.log(max(share, 1e-3) / max(1 - share, 1e-3)))
+    return Chain(np.empty(0, np.uint64), np.empty(0, bool), [Linear(np.zeros(2 + k), bias) for k in range(len(CATEGORIES))])
+
+
+def fit_models(x: np.ndarray, share: np.ndarray, parts: np.ndarray, toxic: np.ndarray) -> list[Linear]:
+    """The chain's models, each after the out-of-fold predictions of those
+    before it.  ``share``: marked terms a word; ``parts``: parts with one."""
     middle = np.median(share[toxic > 0])
-    targets = (toxic > 0, (toxic > 0) & (share >= middle), (toxic > 0) & (f[2] >= PARTS * 3 // 4))
-    fold = np.arange(n) % FOLDS
-    unseen = np.empty((n, 0))
+    targets = (toxic > 0, (toxic > 0) & (share >= middle), (toxic > 0) & (parts >= PARTS * 3 // 4))
+    fold = np.arange(len(x)) % FOLDS
+    models, unseen = [], np.empty((len(x), 0), dtype=np.float32)
     for target in targets:
-        y = target.astype(float)
+        y = target.astype(np.float32)
         given = np.column_stack((x, unseen))
-        chain.models.append(Linear.fit(given, y))
-        column = np.empty(n)
+        models.append(Linear.fit(given, y))
+        column = np.empty(len(x), dtype=np.float32)
         for k in range(FOLDS):
             column[fold == k] = Linear.fit(given[fold != k], y[fold != k])(given[fold == k])
         unseen = np.column_stack((unseen, column))
-    return chain
+    return models
+
+
+def _terms(sample: DataFrame, n_bad: int, n_good: int) -> DataFrame:
+    """Terms of at least five sampled texts with their z scores, and whether
+    they are marked: the ``VOCABULARY`` largest."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for rows, texts in words.blocks(batch["text"]):
+                hashes, owner, _ = text_words(texts)
+                order = np.lexsort((owner, hashes))
+                hashes, owner = hashes[order], owner[order]
+                first = np.ones(len(order), dtype=bool)  # a text counts a term once
+                first[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+                kinds, place = np.unique(hashes[first], return_inverse=True)
+                bad = batch["_y"].iloc[rows].to_numpy()[owner[first]] > 0
+                counts = (np.bincount(place[m], minlength=len(kinds)) for m in (bad, ~bad))
+                yield pd.DataFrame({"term": kinds.view(np.int64), **dict(zip(("bad", "good"), counts))})
+
+    seen = sample.mapInPandas(run, "term long, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    bad, good = (F.col("bad") + 0.5) / (n_bad + 1), (F.col("good") + 0.5) / (n_good + 1)
+    z = F.log(bad / good) / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
+    marked = (z > 4) & (bad > 10 * good) & (F.col("bad") > 0.02 * n_bad)
+    return seen.where("bad + good >= 5").select("term", marked.alias("marked"), z.alias("z")).orderBy(F.abs("z").desc(), "term").limit(VOCABULARY)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
-    """Fit on at most ``sample`` rows of either label in the order of a hash
-    of their ids; only word hashes of these rows reach the driver."""
+    """Fit on at most ``sample`` rows of either label in the order of a hash of
+    their ids.  The vocabulary is counted in the cluster; the driver sees its
+    terms and one short feature row per sampled text."""
     known = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").alias("_y"))
     picked = [known.where(F.col("_y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     chosen = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * sample ids
+    rows = stored(docs.select("doc_id", "text").join(chosen, "doc_id"), "sample")
+    counts = {r["_y"]: r["count"] for r in rows.groupBy("_y").count().collect()}
+    n_bad, n_good = counts.get(1, 0), counts.get(0, 0)
+    if not n_bad or not n_good:
+        return prior(n_bad / max(n_bad + n_good, 1))
+    terms = sorted((np.uint64(r["term"] & (2**64 - 1)), r["marked"]) for r in _terms(rows, n_bad, n_good).collect())
+    chain = Chain(np.array([t for t, _ in terms], dtype=np.uint64), np.array([m for _, m in terms], dtype=bool))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for rows, texts in words.blocks(batch["text"]):
-                hashes, owner, part = text_words(texts)
-                cut = np.searchsorted(owner, np.arange(1, len(texts)))
-                yield pd.DataFrame({
-                    "_y": batch["_y"].iloc[rows].to_numpy(), "doc_id": batch["doc_id"].iloc[rows].to_numpy(),
-                    "h": pd.Series([a.astype("<u8").tobytes() for a in np.split(hashes, cut)], dtype=object),
-                    "p": pd.Series([a.astype(np.uint8).tobytes() for a in np.split(part, cut)], dtype=object),
-                })
-
-    rows = (
-        docs.select("doc_id", "text").join(chosen, "doc_id")
-        .mapInPandas(run, "_y int, doc_id long, h binary, p binary").toPandas().sort_values(["doc_id", "_y", "h"], kind="stable")
-    )
-    hashes = [np.frombuffer(h, dtype="<u8") for h in rows["h"]]
-    owner = np.repeat(np.arange(len(rows)), [len(h) for h in hashes])
-    part = np.frombuffer(b"".join(rows["p"]), dtype=np.uint8)
-    return fit_chain(np.concatenate([*hashes, np.empty(0, np.uint64)]), owner, part, rows["_y"].to_numpy(dtype=float))
+            for part, texts in words.blocks(batch["text"]):
+                f = chain.features(*text_words(texts), len(texts))
+                own = batch.iloc[part]
+                yield pd.DataFrame({"doc_id": own["doc_id"], "y": own["_y"], "marked": f[1], "parts": f[2], "n_words": f[3],
+                                    "x": pd.Series([r.tobytes() for r in chain.inputs(*f)], index=own.index, dtype=object)})
+
+    made = rows.mapInPandas(run, "doc_id long, y int, marked long, parts long, n_words long, x binary").toPandas()
+    made = made.sort_values(["doc_id", "y", "x"], kind="stable")
+    x = np.frombuffer(b"".join(made["x"]), dtype=np.float32).reshape(len(made), -1)
+    share = made["marked"].to_numpy() / np.maximum(made["n_words"].to_numpy(), 1)
+    chain.models = fit_models(x, share, made["parts"].to_numpy(), made["y"].to_numpy())
+    return chain
 
 
 def score(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
