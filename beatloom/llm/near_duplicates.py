@@ -235,8 +235,9 @@ def _verified(cells: DataFrame, docs: DataFrame) -> DataFrame:
     return dealt.groupBy("cell").applyInPandas(compare, "a binary, b binary")
 
 
-def _cells(reps: DataFrame, buckets: DataFrame, loose: DataFrame, limit: int) -> DataFrame:
-    """Where each text of a loose group is compared: see the module's text."""
+def _cells(reps: DataFrame, shared: DataFrame, loose: DataFrame, limit: int) -> DataFrame:
+    """Where each text of a loose group is compared: see the module's text.
+    ``shared``: texts (fp) and the bands they share with n - 1 others."""
     sizes = loose.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     placed = stored(loose.join(sizes, "root").select(F.col("node").alias("fp"), "root", "n"), "placed")
     own = reps.select("fp", "bands", F.col("rep.key").alias("key"))
@@ -244,10 +245,9 @@ def _cells(reps: DataFrame, buckets: DataFrame, loose: DataFrame, limit: int) ->
         "key", "fp", "bands", F.concat(F.lit("g"), F.hex("root")).alias("cell"), F.lit(None).cast("int").alias("block"))
     if placed.where(F.col("n") > limit).isEmpty():
         return small
-    shared = buckets.join(placed.where(F.col("n") > limit).select("fp"), "fp")
-    blocks = shared.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / limit).cast("int").alias("s")).where("s > 0")
+    dealt = shared.withColumn("s", F.ceil(F.col("n") / limit).cast("int")).drop("n").join(placed.where(F.col("n") > limit).select("fp"), "fp")
     mine = F.pmod(F.xxhash64("fp"), F.col("s")).cast("int")
-    pairs = shared.join(blocks, "band").select("fp", "band", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("other"))
+    pairs = dealt.select("fp", "band", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("other"))
     cell = F.concat_ws("-", F.lit("b"), "band", F.least("mine", "other"), F.greatest("mine", "other"))
     large = pairs.join(own, "fp").select("key", "fp", "bands", cell.alias("cell"), F.col("mine").alias("block"))
     return small.unionByName(large)
@@ -259,10 +259,11 @@ def classes(docs: DataFrame, limit: int = CELL) -> DataFrame:
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
     reps = stored(sig.groupBy("fp").agg(F.min(rank).alias("rep"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")), "texts")
     buckets = reps.select("fp", F.explode("bands").alias("band"))
-    leaders = buckets.groupBy("band").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    stars = buckets.join(leaders, "band").where(F.col("a") != F.col("fp")).select("a", F.col("fp").alias("b")).distinct()
+    leaders = buckets.groupBy("band").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = stored(buckets.join(leaders, "band"), "shared")
+    stars = shared.where(F.col("a") != F.col("fp")).select("a", F.col("fp").alias("b")).distinct()
     loose = stored(components(stars), "loose")
-    links = stored(_verified(_cells(reps, buckets, loose, limit), docs), "links")
+    links = stored(_verified(_cells(reps, shared, loose, limit), docs), "links")
     linked = stored(components(links), "linked")
     members = reps.join(linked, F.col("fp") == F.col("node")).select("fp", "root", "rep", "n")
     merged = members.groupBy("root").agg(F.min("rep").alias("class_rep"), F.sum("n").alias("n_class"))
