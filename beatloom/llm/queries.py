@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beatloom.llm import bpe, chat, decontaminate, near_duplicates, quality_rules, quality_trees, sharding, toxicity
+from beatloom.llm import bpe, chat, decontaminate, near_duplicates, quality_rules, quality_trees, sharding, suffix_dedup, toxicity
 from beatloom.llm.store import read, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +80,15 @@ def op4_toxicity_chain(spark, sf_dir):
     )
 
 
+@_query
+def op5_suffix_dedup(spark, sf_dir):
+    length = F.aggregate("cut.spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
+    derive = {"n_bytes": F.col("cut.n_bytes"), "n_removed": length, "n_spans": F.size("cut.spans").cast("long"),
+              "kept_sha256": F.sha2(F.col("cut.kept"), 256)}
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.deduplicate(docs, derive).select("doc_id", *derive)
+
+
 @_query
 def op6_byte_bpe(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
