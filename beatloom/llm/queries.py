@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beatloom.llm import bpe, chat, decontaminate, near_duplicates, quality_rules, quality_trees, sharding, suffix_dedup, toxicity
+from beatloom.llm import bpe, chat, decontaminate, near_duplicates, quality_rules, quality_trees, sharding, suffix_dedup, token_rollup, toxicity
 from beatloom.llm.store import read, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,38 @@ FROM doc_words LEFT JOIN hit_words h USING (doc_id) LEFT JOIN hit_items t USING
 """
 
 
+@_query
+def op2_token_rollup(spark, sf_dir):
+    """Load all documents; count texts with repeated lines anew without them;
+    take the documents labelled toxic down; repeat two batches."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    lines = F.split("text", "\n")
+    once = F.array_distinct(lines)
+    short = F.when(F.size(once) < F.size(lines), F.array_join(once, "\n"))
+    words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), quality_rules.BLANK), "")).cast("long")
+    words_short = F.size(F.array_remove(F.split("short", quality_rules.BLANK), "")).cast("long")
+    tokenizer = byte_bpe()
+    counted = docs.withColumn("short", short).select(
+        "doc_id", "source", "lang", F.col("short").isNotNull().alias("changed"),
+        F.array(
+            F.struct(F.lit("byte_bpe_50k").alias("version"), tokenizer.count("text").alias("old"), tokenizer.count("short").alias("new")),
+            F.struct(F.lit("words_1").alias("version"), words.alias("old"), words_short.alias("new")),
+        ).alias("counts"))
+    counted = stored(counted, "counted").select("doc_id", "source", "lang", "changed", F.explode("counts").alias("c"))
+    counted = counted.select("doc_id", "source", "lang", "changed", "c.version", "c.old", "c.new")
+    toxic = read(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
+    tokens = F.when(F.col("changed"), F.col("new")).otherwise(F.col("old")).alias("tokens")
+    key = ["source", "lang", "version"]
+    load = token_rollup.inserts(counted.select(*key, F.col("old").alias("tokens")))
+    shorten = token_rollup.revisions(counted.where("changed").select(
+        *key, tokens, *[F.col(k).alias(f"old_{k}") for k in key], F.col("old").alias("old_tokens")))
+    down = token_rollup.deletes(counted.join(toxic, "doc_id").select(*key, tokens))
+    rollup = token_rollup.Rollup.fresh(spark)
+    for name, batch in (("load", load), ("shorten", shorten), ("shorten", shorten), ("takedown", down), ("load", load)):
+        rollup.commit(name, batch)
+    return rollup.totals()
+
+
 @_query
 def op3_quality_trees(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
