@@ -88,7 +88,7 @@ def statistics(texts: list[bytes]) -> np.ndarray:
         total(((held[2] > 0) & (held[1] == 0)).astype(float), owner) / per_word,
         total(((held[5] > 0) | (held[6] > 0)).astype(float), owner) / per_word,
         total((last == ord(".")).astype(float), owner) / per_word,
-        lines / per_word, 1 - line_kinds / np.maximum(lines, 1),
+        lines / per_word, (lines - line_kinds) / np.maximum(lines, 1),
         total((length <= 3).astype(float), owner) / per_word, total((held[5] == length).astype(float), owner) / per_word,
     ]
     return np.column_stack(out).astype(np.float32)
