@@ -46,9 +46,9 @@ REACH = LENGTH - GRAM  # bytes of context on either side of an anchor
 class Sizes:
     """How the work is cut; results do not depend on it."""
 
-    pack: int = 24 << 20   # bytes of text a task packs at once
-    part: int = 24 << 20   # stored input per anchor partition
-    shard: int = 20_000    # contexts of one suffix array, about
+    pack: int = 12 << 20   # bytes of text a task packs at once
+    part: int = 16 << 20   # stored input per anchor partition
+    shard: int = 10_000    # contexts of one suffix array, about
     hot: int = 20_000      # open contexts from which an anchor leaves its shard
 
 
