@@ -304,9 +304,11 @@ def _merged(spans):
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents without their hit spans; same columns, n_chars renewed."""
-    columns = docs.columns
-    data = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
-    found = find(docs, benchmark)
+    place = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    own = docs.select(*[F.col(f"`{c}`").alias(p) for c, p in place.items()])
+    old = F.col(place["text"])
+    data = F.encode(F.coalesce(old, F.lit("")), "UTF-8")
+    found = find(own, benchmark, text=place["text"])
     start = F.struct(F.lit(1).alias("at"), F.array().cast("array<binary>").alias("parts"))
     cut = F.aggregate(
         "hits.spans", start,
@@ -315,8 +317,8 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         lambda acc: F.concat(F.array_join(F.transform(acc["parts"], lambda p: F.decode(p, "UTF-8")), ""),
                              F.decode(F.substring(data, acc["at"], F.lit(2**31 - 1)), "UTF-8")),
     )
-    text = F.when(F.col("hits.n_hit") > 0, cut).otherwise(F.col("text"))
-    changed = {"text": text}
-    if "n_chars" in columns:
-        changed["n_chars"] = F.when(F.col("hits.n_hit") > 0, F.char_length(cut).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return found.withColumns(changed).select(*[F.col(f"`{c}`") for c in columns])
+    changed = {"text": F.when(F.col("hits.n_hit") > 0, cut).otherwise(old)}
+    if "n_chars" in place:
+        n_chars = F.col(place["n_chars"])
+        changed["n_chars"] = F.when(F.col("hits.n_hit") > 0, F.char_length(cut).cast(docs.schema["n_chars"].dataType)).otherwise(n_chars)
+    return found.select(*[changed.get(c, F.col(p)).alias(c) for c, p in place.items()])
