@@ -3,25 +3,23 @@
 A plain ``Window.partitionBy(record)`` sends a whole record to one task.  Here
 rows are cut along the ordering axis into slices, windows run inside
 ``(record, slice)``, and only slice summaries -- or the few edge rows a bounded
-frame can reach -- travel between slices.  When the input is proven small there
-is one slice and the plan is the plain window.
+frame can reach -- travel between slices.  The plan is the same at every size;
+a small table just has one slice.  NULL order values come first, as in any
+ascending window.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from beatloom.session import is_small
+from beatloom.session import written
 
 SLICE = "_slice"
-ROWS_PER_SLICE = 2_000_000
-MAX_SLICES = 4096
+LAST_SLICE = 1 << 62  # of NaN; NULL has the first
 
 
 @dataclass(frozen=True)
@@ -31,7 +29,6 @@ class Sequence:
     df: DataFrame
     keys: tuple[str, ...]
     order: tuple[str, ...]
-    sliced: bool
 
     # -- shaping ---------------------------------------------------------
     def with_df(self, df: DataFrame) -> "Sequence":
@@ -48,7 +45,7 @@ class Sequence:
 
     @property
     def _group(self) -> list[str]:
-        return [*self.keys, SLICE] if self.sliced else list(self.keys)
+        return [*self.keys, SLICE]
 
     def _window(self) -> WindowSpec:
         return Window.partitionBy(*self._group).orderBy(*self.order)
@@ -62,8 +59,6 @@ class Sequence:
     ) -> "Sequence":
         """Add window columns whose frames reach at most ``before`` rows back
         and ``after`` rows ahead."""
-        if not self.sliced:
-            return self.with_df(self.df.withColumns(exprs(self._window())))
         own = self.df.withColumn("_halo", F.lit(False))
         full = own
         if before:
@@ -96,7 +91,7 @@ class Sequence:
         ])
         names = [c for c in self.df.columns if c != SLICE]
         return (
-            edge.join(targets, group)
+            _join(edge, targets, group)
             .select(*names, F.explode(reachable).alias(SLICE))
             .where(F.col(SLICE).isNotNull())
             .select(*self.df.columns, F.lit(True).alias("_halo"))
@@ -108,8 +103,6 @@ class Sequence:
         inside = F.last(column, ignorenulls=True).over(
             self._window().rowsBetween(Window.unboundedPreceding, -1)
         )
-        if not self.sliced:
-            return self.with_columns({name: inside})
         tails = (
             self.df.groupBy(*self._group)
             .agg(F.max_by(
@@ -120,7 +113,7 @@ class Sequence:
             Window.partitionBy(*self.keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
         )
         carried = tails.select(*self._group, carry.alias("_carry"))
-        out = self.df.join(carried, self._group).withColumn(name, F.coalesce(inside, F.col("_carry")))
+        out = _join(self.df, carried, self._group).withColumn(name, F.coalesce(inside, F.col("_carry")))
         return self.with_df(out.drop("_carry"))
 
     def running_sum(self, column: str, name: str) -> "Sequence":
@@ -128,14 +121,12 @@ class Sequence:
         inside = F.sum(column).over(
             self._window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
         )
-        if not self.sliced:
-            return self.with_columns({name: inside})
         totals = self.df.groupBy(*self._group).agg(F.sum(column).alias("_total"))
         carry = F.sum("_total").over(
             Window.partitionBy(*self.keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
         )
         carried = totals.select(*self._group, F.coalesce(carry, F.lit(0)).alias("_carry"))
-        out = self.df.join(carried, self._group).withColumn(name, F.col("_carry") + inside)
+        out = _join(self.df, carried, self._group).withColumn(name, F.col("_carry") + inside)
         return self.with_df(out.drop("_carry"))
 
     def position(self, name: str) -> "Sequence":
@@ -144,40 +135,30 @@ class Sequence:
         return seq.with_df(seq.df.withColumn(name, F.col(name) - 1).drop("_one"))
 
 
+def _join(rows: DataFrame, per_slice: DataFrame, group: list[str]) -> DataFrame:
+    """Attach one row per (record, slice); NULL records and slices match."""
+    named = per_slice.withColumnsRenamed({c: f"_on_{c}" for c in group})
+    same = [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in group]
+    return rows.join(named, same).drop(*[f"_on_{c}" for c in group])
+
+
 def sequence(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    axis: str | None = None,
-    slice_width: float | None = None,
-    small: bool | None = None,
-    rows_per_slice: int | None = None,
+    df: DataFrame, keys: list[str], order: list[str], slice_width: float | None = None, slices: int | None = None,
 ) -> Sequence:
     """Describe an ordered sequence.
 
-    ``axis`` is the numeric leading order column that slices are cut along.
-    ``slice_width`` fixes the cut; otherwise slices lie between quantiles of the
-    whole table, so each holds about ``rows_per_slice`` rows whichever record
-    they belong to and however unevenly they are spread.  Any monotone cut gives
-    the same results; the quantiles only balance the work.
+    ``slice_width`` cuts the leading order column into stretches of that width
+    in place.  Otherwise the rows are range-partitioned by record and order and
+    written once, each partition being a slice: slices hold like numbers of
+    rows, however the records are spread.  ``slices`` fixes their number.  Any
+    monotone cut gives the same results.
     """
-    axis = axis or order[0]
-    if small is None:
-        small = slice_width is None and is_small(df)
-    if small:
-        return Sequence(df, tuple(keys), tuple(order), sliced=False)
     if slice_width is not None:
-        cut = F.floor(F.col(axis) / F.lit(float(slice_width)))
-        return Sequence(df.withColumn(SLICE, cut), tuple(keys), tuple(order), sliced=True)
-    if rows_per_slice is None:
-        rows_per_slice = int(df.sparkSession.conf.get("beatloom.rowsPerSlice", str(ROWS_PER_SLICE)))
-    parts = min(-(-df.count() // rows_per_slice), MAX_SLICES)
-    bounds = df.approxQuantile(axis, [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else []
-    splits = [-math.inf, *sorted(set(bounds)), math.inf]
-    if len(splits) < 3:
-        return Sequence(df, tuple(keys), tuple(order), sliced=False)
-    binned = Bucketizer(splits=splits, inputCol="_axis", outputCol=SLICE, handleInvalid="keep").transform(
-        df.withColumn("_axis", F.col(axis).cast("double"))
-    )
-    cut = binned.drop("_axis").withColumn(SLICE, F.col(SLICE).cast("long"))
-    return Sequence(cut, tuple(keys), tuple(order), sliced=True)
+        at = F.col(order[0]).cast("double") / F.lit(float(slice_width))
+        place = F.when(at.isNull(), F.lit(-LAST_SLICE)).when(F.isnan(at), F.lit(LAST_SLICE)).otherwise(F.floor(at))
+        cut = df.withColumn(SLICE, place.cast("long"))
+    else:
+        axis = [*keys, *order]
+        ranged = df.repartitionByRange(slices, *axis) if slices else df.repartitionByRange(*axis)
+        cut = written(ranged.withColumn(SLICE, F.spark_partition_id().cast("long")))
+    return Sequence(cut, tuple(keys), tuple(order))

@@ -5,91 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from beatloom.session import cut_lineage
+from beatloom.session import written
 
-FAN_OUT = 1024
-MAX_PLAIN_VALUES = 2_000_000  # values in all groups together that one task may hold
 
-
-def percentiles(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    probs: dict[str, float],
-    small: bool,
-) -> DataFrame:
+def percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Linear-interpolated percentiles: one row per group, one column per name.
 
-    Small inputs use the built-in aggregate.  Otherwise each wanted rank is
-    located by repeatedly narrowing a value interval: values are first collapsed
-    to (value, count), every round histograms the survivors of each interval
-    into ``FAN_OUT`` cells (map-side combined) and keeps the cell holding the
-    rank.  The work per round is one aggregate; nothing is sorted or collected
-    per group, and the answer is exact.
+    Values collapse to (value, count) and are range-partitioned by group and
+    value, so that a group of any size is spread; each partition counts up from
+    where the ones before it end, and the rows that hold a wanted rank are
+    picked.  Three exchanges whatever the size or the values: NaN ranks above
+    infinity, missing values are left out, groups without values have no row.
+    ``keys`` may be empty.
     """
-    if small:
-        # one aggregate for all: it keeps a single map of the group's values
-        wanted = F.percentile(value, F.array(*[F.lit(float(p)) for p in probs.values()])).alias("_q")
-        found = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(wanted)
-        return found.select(*keys, *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(probs)])
-    counts = cut_lineage(
+    counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    spans = counts.groupBy(*keys).agg(
-        F.sum("_n").alias("_total"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-    )
-    spots = F.array(*[
-        F.struct(F.lit(n).alias("name"), (F.lit(float(p)) * (F.col("_total") - 1)).alias("at"))
-        for n, p in probs.items()
-    ])
-    asked = spans.withColumn("_spot", F.explode(spots)).select(
-        *keys, "_lo", "_hi", F.col("_spot.name").alias("_name"), F.col("_spot.at").alias("_at")
-    )
-    ranks = cut_lineage(
-        asked.withColumn("_rank", F.explode(F.array(F.floor("_at"), F.ceil("_at"))))
-        .select(*keys, F.col("_rank").cast("long").alias("_rank"), "_lo", "_hi", F.lit(0).cast("long").alias("_skip"))
-        .distinct()
-    )
-    while not ranks.where("_lo < _hi").isEmpty():
-        ranks = cut_lineage(_narrow(counts, ranks, keys))
-    found = ranks.select(*keys, "_rank", F.col("_lo").alias("_value"))
-    low, high = F.floor("_at").cast("long"), F.ceil("_at").cast("long")
-    frac = F.col("_at") - F.floor("_at")
-    hit = (
-        asked.join(found, keys)
-        .groupBy(*keys, "_name", "_at")
-        .agg(
-            F.max(F.when(F.col("_rank") == low, F.col("_value"))).alias("_a"),
-            F.max(F.when(F.col("_rank") == high, F.col("_value"))).alias("_b"),
-        )
-        .withColumn("_q", F.col("_a") + (F.col("_b") - F.col("_a")) * frac)
-    )
-    return hit.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_name") == n, F.col("_q"))).alias(n) for n in probs]
+    placed = written(counts.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id()))
+    whole = Window.partitionBy(*keys)  # one row per group and partition
+    parts = placed.groupBy(*keys, "_part").agg(F.sum("_n").alias("_sum")).select(
+        *[F.col(k).alias(f"_on_{k}") for k in keys], F.col("_part").alias("_at"),
+        F.coalesce(F.sum("_sum").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.sum("_sum").over(whole).alias("_total"),
     )
+    same = [F.col("_part") == F.col("_at"), *[F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in keys]]
+    inside = F.sum("_n").over(Window.partitionBy(*keys, "_part").orderBy("_v"))
+    ranked = placed.withColumn("_inside", inside).join(parts, same)
+    end = F.col("_before") + F.col("_inside")
 
+    def at(rank):
+        """The value of this zero-based rank, in its one row."""
+        return F.max(F.when((rank >= end - F.col("_n")) & (rank < end), F.col("_v")))
 
-def _narrow(counts: DataFrame, ranks: DataFrame, keys: list[str]) -> DataFrame:
-    """One round: shrink every open interval to the cell holding its rank."""
-    closed = ranks.where("_lo = _hi")
-    wanted = ranks.where("_lo < _hi")
-    share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    cell = F.least(F.floor(share * FAN_OUT), F.lit(FAN_OUT - 1)).cast("int")
-    cells = (
-        counts.join(wanted, keys)
-        .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-        .groupBy(*keys, "_rank", "_skip", cell.alias("_cell"))
-        .agg(F.sum("_n").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    )
-    through = F.col("_skip") + F.sum("_n").over(
-        Window.partitionBy(*keys, "_rank").orderBy("_cell")  # at most FAN_OUT rows
-    )
-    picked = (
-        cells.withColumn("_through", through)
-        .where((F.col("_rank") < F.col("_through")) & (F.col("_rank") >= F.col("_through") - F.col("_n")))
-        .withColumn("_skip", F.col("_through") - F.col("_n"))
-        .select(*keys, "_rank", "_lo", "_hi", "_skip")
-    )
-    return picked.unionByName(closed)
+    def spot(p: float):
+        return F.lit(float(p)) * (F.col("_total") - 1)
+
+    wanted = []
+    for n, p in probs.items():
+        wanted += [at(F.floor(spot(p))).alias(f"_a_{n}"), at(F.ceil(spot(p))).alias(f"_b_{n}")]
+    picked = ranked.groupBy(*keys).agg(F.max("_total").alias("_total"), *wanted)
+
+    def between(n: str, p: float):
+        a, b, share = F.col(f"_a_{n}"), F.col(f"_b_{n}"), spot(p) - F.floor(spot(p))
+        endless = F.greatest(F.abs(a), F.abs(b)) == float("inf")  # where b - a may be undefined
+        return F.when((share == 0) | (a == b), a).when(endless, a * (1 - share) + b * share).otherwise(a + (b - a) * share)
+
+    return picked.where("_total is not null").select(*keys, *[between(n, p).alias(n) for n, p in probs.items()])

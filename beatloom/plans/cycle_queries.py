@@ -12,7 +12,6 @@ from beatloom.functions.st_segment import st_features as st_struct
 from beatloom.operators import template as TP
 from beatloom.operators.quantiles import percentiles
 from beatloom.plans import tables as T
-from beatloom.session import is_small
 
 FS = T.NOMINAL_FS
 REACH = 38  # 150 ms at the nominal rate
@@ -329,7 +328,7 @@ def dynamic_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Room around the QRS in samples: 1-60 ms by the cycle's share of the 95th
     percentile of its record's slope energy."""
     e = T.cycles(spark, sf_dir).select("record_id", "cycle", A.mean(F.transform(A.gradient(_y()), F.abs)).alias("energy"))
-    top = percentiles(e, ["record_id"], "energy", {"top": 0.95}, is_small(T.read(spark, sf_dir, "embeddings")))
+    top = percentiles(e, ["record_id"], "energy", {"top": 0.95})
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("energy") / F.col("top")))
     out = e.join(top, "record_id")
     return out.select("record_id", "cycle", _r(share, "share"),

@@ -11,7 +11,7 @@ from beatloom.operators import matching as M
 from beatloom.operators import variability as V
 from beatloom.operators.quantiles import percentiles
 from beatloom.plans import tables as T
-from beatloom.session import is_small
+from beatloom.session import written
 
 TOLERANCE_US = 30 * 60 * 1_000_000  # half an hour between event kinds
 
@@ -70,7 +70,7 @@ def rr_median_band_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals inside 0.92-1.16 of the record's median."""
     rr = T.gated_rr(spark, sf_dir)
     rows = rr.rows().where(F.col("rr_ms").isNotNull())
-    med = percentiles(rows, ["record_id"], "rr_ms", {"median_rr": 0.5}, small=not rr.sliced)
+    med = percentiles(rows, ["record_id"], "rr_ms", {"median_rr": 0.5})
     return (
         rows.join(med, "record_id")
         .where(F.col("rr_ms").between(F.col("median_rr") * 0.92, F.col("median_rr") * 1.16))
@@ -170,16 +170,14 @@ def _line_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def variability_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small = is_small(T.read(spark, sf_dir, "lineitem"))
     feats = _line_features(spark, sf_dir)
     names = [c for c in feats.columns if c != "record_id"]
-    out = V.variability_long(V.to_long(feats, ["record_id"], names), ["record_id"], small)
+    out = V.variability_long(V.to_long(feats, ["record_id"], names), ["record_id"])
     return out.select("record_id", "feature", *[_r(F.col(s), s) for s in V.STATS])
 
 
 def variability_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small = is_small(T.read(spark, sf_dir, "lineitem"))
-    wide = V.variability_wide(_line_features(spark, sf_dir), ["record_id"], small)
+    wide = V.variability_wide(_line_features(spark, sf_dir), ["record_id"])
     return wide.select("record_id", *[_r(F.col(c), c) for c in wide.columns if c != "record_id"])
 
 
@@ -192,7 +190,7 @@ def subject_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").cast("double").alias("R_center_idx"),
     )
     names = [c for c in feats.columns if c != "subject"]
-    agg = V.subject_aggregates(feats, ["subject"], names, is_small(orders))
+    agg = V.subject_aggregates(feats, ["subject"], names)
     subjects = T.read(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("subject"), F.col("c_nationkey").alias("age"), F.col("c_mktsegment").alias("sex")
     )
@@ -272,15 +270,14 @@ def detection_rate_by_record(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def across_subject_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean, median, extremes, population deviation and count at 80 % or more."""
-    rates = detection_rate_by_record(spark, sf_dir).withColumn("grp", F.lit(0))
-    med = percentiles(rates, ["grp"], "detection_rate", {"median_rate": 0.5},
-                      small=is_small(T.read(spark, sf_dir, "events")))
-    out = rates.groupBy("grp").agg(
+    rates = written(detection_rate_by_record(spark, sf_dir))
+    med = percentiles(rates, [], "detection_rate", {"median_rate": 0.5})
+    out = rates.agg(
         F.count(F.lit(1)).alias("n_subjects"), F.avg("detection_rate").alias("mean_rate"),
         F.min("detection_rate").alias("min_rate"), F.max("detection_rate").alias("max_rate"),
         F.stddev_pop("detection_rate").alias("std_rate"),
         F.count_if(F.col("detection_rate") >= 80).alias("n_above_80"),
-    ).join(med, "grp")
+    ).join(med, F.lit(True))  # one row each
     return out.select("n_subjects", "n_above_80", *[
         _r(F.col(c), c) for c in ("mean_rate", "median_rate", "min_rate", "max_rate", "std_rate")])
 
@@ -304,8 +301,7 @@ def recall_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.count(F.lit(1)).alias("n_matched"), F.avg("minutes").alias("mae")), "record_id", "left")
         .na.fill(0, ["n_truth", "n_found", "n_matched"])
     )
-    med = percentiles(pairs, ["record_id"], "minutes", {"median_ae": 0.5},
-                      small=is_small(T.read(spark, sf_dir, "events")))
+    med = percentiles(pairs, ["record_id"], "minutes", {"median_ae": 0.5})
     s = M.scores(F.col("n_truth"), F.col("n_found"), F.col("n_matched"))
     return counts.join(med, "record_id", "left").select(
         "record_id",

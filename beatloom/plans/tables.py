@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beatloom.operators.ordered import Sequence, sequence
-from beatloom.session import is_small, tune
+from beatloom.session import tune
 
 NOMINAL_FS = 250.0
 
@@ -26,7 +26,7 @@ def rr_series(spark: SparkSession, sf_dir: str) -> Sequence:
         "event_type",
         "value",
     )
-    return sequence(rows, ["record_id"], ["t_us", "event_id"], small=is_small(events))
+    return sequence(rows, ["record_id"], ["t_us", "event_id"])
 
 
 def gated_rr(spark: SparkSession, sf_dir: str) -> Sequence:

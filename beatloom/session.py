@@ -1,4 +1,4 @@
-"""Session settings, plan-size checks and lineage cuts shared by every job."""
+"""Session settings and lineage cuts shared by every job."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Runtime SQL settings the library relies on.  Skewed joins must be split even
 # when that costs an extra exchange: one record may hold a third of all rows.
@@ -18,10 +17,6 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
 }
 
-# A scan no larger than this on disk is handled by one-pass plans; anything
-# larger takes the sliced plans that never gather a record in one task.
-SMALL_SCAN_BYTES = 32 * 1024 * 1024
-
 
 def tune(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_CONF.items():
@@ -35,22 +30,20 @@ def planned_bytes(df: DataFrame) -> int:
     return int(str(stats.sizeInBytes()))
 
 
-def is_small(df: DataFrame) -> bool:
-    """Whether a scan may take the one-pass plans; the session setting
-    ``beatloom.smallScanBytes`` overrides the limit."""
-    limit = int(df.sparkSession.conf.get("beatloom.smallScanBytes", str(SMALL_SCAN_BYTES)))
-    return planned_bytes(df) <= limit
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared scratch folder, ``spark.checkpoint.dir``.
 
-    A temporary one is set only where the session names none, as in tests.
+    In local mode, as in tests, a temporary one is set where the session names
+    none; on a cluster every executor would write to a disk of its own.
     """
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="beatloom-ckpt-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="beatloom-ckpt-")
     spark.sparkContext.setCheckpointDir(folder)
     return jsc.getCheckpointDir().get()
 
@@ -83,14 +76,10 @@ def spread_over(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.repartition(n, *keys)
 
 
-def attach(df: DataFrame, stats: DataFrame, keys: list[str], row_limit: int = 200_000) -> DataFrame:
+def attach(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
     """Join per-key ``stats`` of a few numbers each onto ``df``.
 
-    The statistics are counted first: up to ``row_limit`` rows (some 20 MB) are
-    broadcast, so that wide rows of ``df`` stay where they are; beyond that a
-    shuffled join, which adaptive execution splits on skewed keys.
+    Written first, they have a known size in bytes, by which Catalyst decides
+    whether they are broadcast; if not, adaptive execution splits hot keys.
     """
-    fixed = written(stats)
-    if fixed.count() <= row_limit:
-        fixed = F.broadcast(fixed)
-    return df.join(fixed, keys, "left")
+    return df.join(written(stats), keys, "left")

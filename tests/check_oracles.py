@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import os
 import sys
 import time
 from pathlib import Path
@@ -60,9 +59,6 @@ if __name__ == "__main__":
     spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
              .config("spark.ui.enabled", "false").config("spark.driver.memory", "8g").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
-    if os.environ.get("FORCE_SLICED"):  # every scan counts as large
-        spark.conf.set("beatloom.smallScanBytes", "0")
-        spark.conf.set("beatloom.rowsPerSlice", "200")
     con = connect(sf_dir)
     for name in names:
         start = time.time()

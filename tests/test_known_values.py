@@ -25,7 +25,7 @@ def one(spark, **cols):
 def hrv_of(spark, values, **kw):
     rows = [("a", i, None if v is None else float(v)) for i, v in enumerate(values)]
     df = spark.createDataFrame(rows, "record_id string, i bigint, rr_ms double")
-    return H.hrv(sequence(df, ["record_id"], ["i"], small=True), **kw).first()
+    return H.hrv(sequence(df, ["record_id"], ["i"], slices=1), **kw).first()
 
 
 def test_hrv_known_answers(spark):
@@ -50,7 +50,7 @@ def test_hrv_known_answers(spark):
 def test_variability_known_answers(spark):
     rows = [("a", "c", 400.0)] * 100 + [("a", "one", 5.0), ("a", "two", 400.0), ("a", "two", 450.0), ("a", "zero", -10.0), ("a", "zero", 10.0)]
     df = spark.createDataFrame(rows, "record_id string, feature string, value double")
-    got = {r.feature: r for r in V.variability_long(df, ["record_id"], True).collect()}
+    got = {r.feature: r for r in V.variability_long(df, ["record_id"]).collect()}
     assert tuple(got["c"][2:]) == (0, 0, 0, 0, 0) and got["one"].std is None
     assert got["two"].range == 50 and got["zero"].cv is None
 

@@ -26,7 +26,7 @@ def series(spark):
 
 def both(series, build, width):
     out = []
-    for kw in ({"small": True}, {"slice_width": width, "small": False}):
+    for kw in ({"slices": 1}, {"slice_width": width}):
         rows = build(sequence(series, ["record_id"], ["t", "id"], **kw)).rows()
         out.append(rows.orderBy("record_id", "t", "id").toPandas())
     return out
@@ -53,24 +53,38 @@ def test_prefix_frames(series, width):
     pd.testing.assert_frame_equal(plain, sliced[plain.columns], check_dtype=False)
 
 
-def test_derived_slice_width(series):
-    cut = sequence(series, ["record_id"], ["t", "id"], small=False, rows_per_slice=100)
-    assert cut.sliced
-    assert cut.df.groupBy("_slice").count().agg(F.max("count")).first()[0] < 200
-    plain = sequence(series, ["record_id"], ["t", "id"], small=True)
-    for s in (cut, plain):
-        s = s.near(lambda w: {"prev": F.lag("v").over(w)}, before=1).running_sum("id", "run")
-        total = s.df.agg(F.round(F.sum("prev"), 6), F.sum("run")).first()
-        assert total == plain.near(lambda w: {"prev": F.lag("v").over(w)}, before=1).running_sum(
-            "id", "run").df.agg(F.round(F.sum("prev"), 6), F.sum("run")).first()
+def test_ranged_slices(series):
+    cut = sequence(series, ["record_id"], ["t", "id"], slices=15)
+    assert cut.df.groupBy("_slice").count().agg(F.max("count")).first()[0] < 300  # the hot record has 600 rows
+    plain = sequence(series, ["record_id"], ["t", "id"], slices=1)
+
+    def build(s):
+        return s.near(lambda w: {"prev": F.lag("v").over(w)}, before=1).running_sum("id", "run").last_valid_before("v", "last")
+
+    a, b = (build(s).rows().orderBy("record_id", "t", "id").toPandas() for s in (plain, cut))
+    pd.testing.assert_frame_equal(a, b[a.columns], check_dtype=False)
+
+
+@pytest.mark.parametrize("kw", [{"slices": 1}, {"slices": 6}, {"slice_width": 50.0}])
+def test_missing_order_values_come_first(spark, kw):
+    rows = [(r, None if k < 2 else 10 * k, k, float(k)) for r in ("a", None) for k in range(40)]
+    df = spark.createDataFrame(rows, "record_id string, t long, id long, v double")
+    s = sequence(df, ["record_id"], ["t", "id"], **kw)
+    s = s.near(lambda w: {"prev": F.lag("v").over(w), "ahead": F.lead("v", 2).over(w)}, before=1, after=2).last_valid_before("v", "last").position("n")
+    got = s.rows().collect()
+    assert len(got) == 80
+    for r in got:
+        k = r["id"]
+        assert (r["prev"], r["last"], r["ahead"], r["n"]) == (k - 1 if k else None, k - 1 if k else None, k + 2 if k < 38 else None, k)
 
 
 def test_hrv_sliced_equals_plain(series):
     frames = []
-    for kw in ({"small": True}, {"slice_width": 900, "small": False}):
+    for kw in ({"slices": 1}, {"slice_width": 900}, {"slices": 9}):
         out = H.hrv(sequence(series, ["record_id"], ["t", "id"], **kw), value="v")
         frames.append(out.orderBy("record_id").toPandas())
-    pd.testing.assert_frame_equal(*frames)
+    for other in frames[1:]:
+        pd.testing.assert_frame_equal(frames[0], other)
 
 
 def test_percentiles_refined_equal_builtin(spark):
@@ -83,7 +97,20 @@ def test_percentiles_refined_equal_builtin(spark):
     })
     df = spark.createDataFrame(pdf)
     probs = {"q0": 0.0, "q25": 0.25, "q50": 0.5, "q95": 0.95, "q100": 1.0}
-    got = percentiles(df, ["k"], "v", probs, small=False).orderBy("k").toPandas()
+    got = percentiles(df, ["k"], "v", probs).orderBy("k").toPandas()
     for row in got.itertuples():
         want = np.percentile(pdf.v[pdf.k == row.k], [0, 25, 50, 95, 100])
         np.testing.assert_allclose([row.q0, row.q25, row.q50, row.q95, row.q100], want, rtol=1e-12)
+
+
+def test_percentiles_of_odd_values(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [("inf", v) for v in (1.0, inf, 2.0)] + [("nan", v) for v in (nan, 1.0, 2.0, 3.0)] + [("low", v) for v in (-inf, 4.0)]
+    rows += [("none", None), (None, 7.0), ("same", 5.0), ("same", 5.0)] + [("hot", float(k % 1000)) for k in range(20_000)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    got = {r["k"]: (r["mid"], r["top"]) for r in percentiles(df, ["k"], "v", {"mid": 0.5, "top": 1.0}).collect()}
+    assert got.pop("nan")[0] == 2.5 and got == {
+        "inf": (2.0, inf), "low": (-inf, 4.0), None: (7.0, 7.0), "same": (5.0, 5.0), "hot": (499.5, 999.0)}
+    assert percentiles(df.where("k = 'hot'"), [], "v", {"q": 0.25}).first()["q"] == 249.75
+    assert percentiles(df.limit(0), ["k"], "v", {"q": 0.5}).count() == 0
+    assert percentiles(df.limit(0), [], "v", {"q": 0.5}).count() == 0
