@@ -54,9 +54,16 @@ def evaluate_models(
     models: tuple[str, ...] | None = None, seed: int = 42,
 ) -> tuple[DataFrame, dict]:
     """(scores, fitted pipelines): test MAE, RMSE and R2 on a held-out fifth and,
-    with ``folds``, the cross-validated MAE."""
+    with ``folds``, the cross-validated MAE.
+
+    Parts and folds follow a hash of the ``subject`` column, so they are the
+    same however the rows are partitioned.
+    """
     spark = subjects.sparkSession
-    train, test = encode(subjects).randomSplit([0.8, 0.2], seed=seed)
+    part = F.pmod(F.xxhash64(F.col("subject"), F.lit(seed)), F.lit(5 * (folds or 1)))
+    rows = encode(subjects).withColumn("part", part)
+    train = rows.where("part % 5 > 0").withColumn("fold", F.floor(F.col("part") / 5).cast("int"))
+    test = rows.where("part % 5 = 0")
     rows, fitted = [], {}
     for name, model in regressors(seed).items():
         if models is not None and name not in models:
@@ -66,7 +73,7 @@ def evaluate_models(
         if folds:
             scorer = RegressionEvaluator(metricName="mae")
             cv = CrossValidator(estimator=pipe, estimatorParamMaps=ParamGridBuilder().build(), evaluator=scorer,
-                                numFolds=folds, seed=seed, parallelism=folds).fit(train)
+                                numFolds=folds, foldCol="fold", seed=seed, parallelism=folds).fit(train)
             cv_mae, fitted[name] = float(cv.avgMetrics[0]), cv.bestModel
         else:
             fitted[name] = pipe.fit(train)

@@ -29,10 +29,6 @@ def _r(expr, name: str, digits: int = 6):
     return F.round(expr, digits).alias(name)
 
 
-def _rounded(y, digits: int = 6):
-    return F.transform(y, lambda v: F.round(v, digits))
-
-
 def _with_r(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.cycles(spark, sf_dir).withColumn("r", A.argmax_abs(_y()))
 

@@ -50,11 +50,18 @@ FROM h WHERE n_rr >= """
 FILL = RR + """, s AS (SELECT *, CASE WHEN event_type <> 'error' THEN floor(value) END AS edge FROM rr)
 SELECT record_id, event_id, edge, round(coalesce(edge, avg(edge) OVER (PARTITION BY record_id ORDER BY t_us, event_id
   ROWS BETWEEN 3 PRECEDING AND {after})), 6) AS filled FROM s"""
-FEATS = EDGES + f""", f AS (SELECT l_suppkey AS record_id, rr_raw AS RR_interval_ms,
-  {INTERVALS['QT_interval_ms']} AS QT_interval_ms, {INTERVALS['QRS_interval_ms']} AS QRS_interval_ms,
-  {INTERVALS['PR_interval_ms']} AS PR_interval_ms, {INTERVALS['ST_segment_ms']} AS ST_segment_ms FROM e),
-lg AS (SELECT record_id, feature, value FROM f UNPIVOT (value FOR feature IN
-  (RR_interval_ms, QT_interval_ms, QRS_interval_ms, PR_interval_ms, ST_segment_ms))),
+_RR = "CASE WHEN rr_raw BETWEEN 300 AND 1800 THEN rr_raw END / 1000"
+FEATURES = {
+    "QT_interval_ms": INTERVALS["QT_interval_ms"], "QRS_interval_ms": INTERVALS["QRS_interval_ms"],
+    "PR_interval_ms": INTERVALS["PR_interval_ms"], "RR_interval_ms": "rr_raw",
+    "QTc_Bazett_ms": f"({INTERVALS['QT_interval_ms']}) / sqrt({_RR})",
+    "QTc_Fridericia_ms": f"({INTERVALS['QT_interval_ms']}) / pow({_RR}, 1.0::DOUBLE / 3)",
+    "R_gauss_height": "rr_raw / 1000", "P_gauss_height": "(P_ri - P_le) / 10.0::DOUBLE", "T_gauss_height": "(T_ri - T_le) / 20.0::DOUBLE",
+    "R_duration_ms": "(S_ri - Q_le) * 4.0::DOUBLE", "P_duration_ms": "(P_ri - P_le) * 4.0::DOUBLE", "T_duration_ms": "(T_ri - T_le) * 4.0::DOUBLE",
+    "ST_segment_ms": INTERVALS["ST_segment_ms"],
+}
+FEATS = EDGES + f""", f AS (SELECT l_suppkey AS record_id, {", ".join(f"({x})::DOUBLE AS {n}" for n, x in FEATURES.items())} FROM e),
+lg AS (SELECT record_id, feature, value FROM f UNPIVOT (value FOR feature IN ({", ".join(FEATURES)}))),
 st AS (SELECT record_id, feature, count(*) AS n, stddev_samp(value) AS sd, avg(value) AS m,
   quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr, 1.4826::DOUBLE * mad(value) AS md,
   max(value) - min(value) AS rg FROM lg GROUP BY ALL),
@@ -62,10 +69,9 @@ vs AS (SELECT record_id, feature, CASE WHEN n >= 2 THEN round(sd, 6) END AS std,
   CASE WHEN n >= 2 AND abs(m) > 1e-6 THEN round(sd / abs(m), 6) END AS cv,
   CASE WHEN n >= 2 THEN round(iqr, 6) END AS iqr, CASE WHEN n >= 2 THEN round(md, 6) END AS mad,
   CASE WHEN n >= 2 THEN round(rg, 6) END AS "range" FROM st)"""
-WIDE_ORDER = ("QT_interval_ms", "QRS_interval_ms", "PR_interval_ms", "RR_interval_ms", "ST_segment_ms")
 WIDE = ", ".join(
     f"max(CASE WHEN feature = '{f}' THEN \"{s}\" END) AS {f}_{s}"
-    for f in WIDE_ORDER for s in ("std", "cv", "iqr", "mad", "range"))
+    for f in FEATURES for s in ("std", "cv", "iqr", "mad", "range"))
 TOL = 30 * 60 * 1_000_000
 MATCH = RR + f""", t AS (SELECT * FROM rr WHERE event_type = 'view'), d AS (SELECT * FROM rr WHERE event_type = 'click'),
 hit AS (SELECT t.*, EXISTS (SELECT 1 FROM d WHERE d.record_id = t.record_id

@@ -160,13 +160,21 @@ def order_nulling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _line_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default variability features of every line, made of its edges."""
     e = T.edges(spark, sf_dir)
     cols = _interval_columns()
-    return e.select(
-        F.col("l_suppkey").alias("record_id"),
-        F.col("rr_raw").alias("RR_interval_ms"),
-        *[cols[n].alias(n) for n in ("QT_interval_ms", "QRS_interval_ms", "PR_interval_ms", "ST_segment_ms")],
-    )
+    rr = F.when(F.col("rr_raw").between(300, 1800), F.col("rr_raw"))
+    qtc = I.qtc_all(cols["QT_interval_ms"], rr)
+    width = {w: F.col(off) - F.col(on) for w, on, off in (
+        ("P", "P_le_idx", "P_ri_idx"), ("R", "Q_le_idx", "S_ri_idx"), ("T", "T_le_idx", "T_ri_idx"))}
+    made = {
+        "RR_interval_ms": F.col("rr_raw"),
+        **{n: cols[n] for n in ("QT_interval_ms", "QRS_interval_ms", "PR_interval_ms", "ST_segment_ms")},
+        **{n: qtc[n] for n in ("QTc_Bazett_ms", "QTc_Fridericia_ms")},
+        "R_gauss_height": F.col("rr_raw") / 1000, "P_gauss_height": width["P"] / 10, "T_gauss_height": width["T"] / 20,
+        **{f"{w}_duration_ms": x * 4.0 for w, x in width.items()},
+    }
+    return e.select(F.col("l_suppkey").alias("record_id"), *[made[n].alias(n) for n in V.DEFAULT_FEATURES])
 
 
 def variability_long(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beatloom.config import Settings
+from beatloom.session import written
 
 LOW_RATE_HZ = 300.0
 
@@ -38,7 +39,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", by_record: bool
 def write_analysis(run, folder: str, fmt: str = "parquet", by_record: bool = False) -> dict[str, str]:
     """Beats, RR, HRV, variability and metadata below ``folder``; empty HRV and
     variability tables are skipped.  Returns the paths written."""
-    tables = {"beats": run.beats, "rr_intervals": run.rr, "hrv_metrics": run.hrv(), "variability_metrics": run.variability()}
+    tables = {"beats": run.beats, "rr_intervals": run.rr, "hrv_metrics": written(run.hrv()),
+              "variability_metrics": written(run.variability())}
     out = {}
     for name, df in tables.items():
         if name in ("hrv_metrics", "variability_metrics") and df.isEmpty():

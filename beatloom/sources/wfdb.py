@@ -16,6 +16,7 @@ SYMBOLS = {
     28: "+", 29: "u", 30: "?", 31: "!", 32: "[", 33: "]", 34: "e", 35: "n", 36: "@", 37: "x", 38: "f", 39: "(",
     40: ")", 41: "r",
 }
+BITS = {212: 12, 16: 16}  # storage formats that are read
 SKIP, NUM, SUB, CHN, AUX = 59, 60, 61, 62, 63
 BEAT_SYMBOLS = ("N", "L", "R", "a", "V", "F", "J", "A", "S", "E", "j", "/", "Q")
 _HEADER = ("record_id string, fs double, n_signals int, n_samples bigint, file string, "
@@ -40,16 +41,22 @@ def _header(path: str, content: bytes) -> dict | None:
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.hea").load(path)
-    parse = array_udf(_header, _HEADER)
-    return files.select(parse("path", "content").alias("h")).select("h.*").where(F.col("record_id").isNotNull())
+    parse = array_udf(_header, _HEADER, strict=True)
+    heads = files.select(parse("path", "content").alias("h")).select("h.*")
+    # The number of samples may be left out; the signal file's size tells it.
+    stored = spark.read.format("binaryFile").option("pathGlobFilter", "*.dat").load(path).select(F.col("path").alias("file"), "length")
+    bits = F.create_map(*[F.lit(x) for pair in BITS.items() for x in pair])[F.col("format")]
+    known = F.floor(F.col("length") * 8 / bits / F.col("n_signals"))
+    counted = heads.join(stored, "file", "left").withColumn("n_samples", F.when(F.col("n_samples") > 0, F.col("n_samples")).otherwise(known))
+    return counted.select(*heads.columns)
 
 
 def _samples(file, fmt, n_signals, gain, baseline, start, n):
     """Channel 0 of samples [start, start + n), read by byte range."""
     fmt, width, at, n = int(fmt), int(n_signals), int(start), int(n)
-    bits = {212: 12, 16: 16}.get(fmt)
+    bits = BITS.get(fmt)
     if bits is None:
-        raise ValueError(f"unsupported storage format {fmt}")
+        raise ValueError(f"{file}: storage format {fmt} is not supported")
     name = file.removeprefix("file://").removeprefix("file:")
     with open(name, "rb") as fh:
         fh.seek(at * width * bits // 8)
@@ -69,10 +76,12 @@ def read_signals(spark: SparkSession, path: str, chunk_seconds: float = 300.0) -
     system every executor mounts."""
     heads = read_headers(spark, path)
     length = (F.bround(F.col("fs") * chunk_seconds / 2) * 2).cast("long")  # even: format 212 packs pairs
+    # an unknown format has no count here and must raise where it is read
+    heads = heads.withColumn("n_samples", F.coalesce("n_samples", F.lit(1).cast("long")))
     cut = heads.where("n_samples > 0").withColumn("_len", length).withColumn(
         "start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_samples") - 1, F.col("_len"))))
     cut = spread_over(cut.withColumn("chunk_id", F.floor(F.col("start") / F.col("_len"))), ["record_id", "chunk_id"])
-    read = array_udf(_samples, "array<double>")
+    read = array_udf(_samples, "array<double>", strict=True)
     n = F.least(F.col("_len"), F.col("n_samples") - F.col("start"))
     return cut.select("record_id", "fs", "chunk_id", "start",
                       read("file", "format", "n_signals", "gain", "baseline", "start", n).alias("y"))
@@ -103,7 +112,7 @@ def read_annotations(
 ) -> DataFrame:
     """(record_id, sample, symbol) rows, optionally of some symbols only."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{extension}").load(path)
-    parse = array_udf(_annotations, "sample array<bigint>, symbol array<string>")
+    parse = array_udf(_annotations, strict=True, returns="sample array<bigint>, symbol array<string>")
     rows = files.select(
         F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("record_id"), parse("content").alias("a")
     ).select("record_id", F.explode(F.arrays_zip("a.sample", "a.symbol")).alias("z")).select("record_id", "z.*")
@@ -119,17 +128,3 @@ def read_subjects(spark: SparkSession, path: str) -> DataFrame:
     sex = F.upper(F.nullif(F.regexp_extract("value", r"(?i)(?:sex|gender)\W{0,3}(m|f)", 1), F.lit("")))
     found = lines.groupBy("subject").agg(F.max(age).alias("age"), F.max(sex).alias("sex"))
     return found.withColumn("age", F.when((F.col("age") > 0) & (F.col("age") < 150), F.col("age")))
-
-
-def encode_annotations(pairs: list[tuple[int, str]]) -> bytes:
-    """The inverse of the annotation reader, for round-trip checks."""
-    codes = {s: c for c, s in SYMBOLS.items()}
-    out, last = [], 0
-    for at, symbol in pairs:
-        step = at - last
-        if step > 0x3FF:
-            out += [SKIP << 10, (step >> 16) & 0xFFFF, step & 0xFFFF]
-            step = 0
-        out.append(codes[symbol] << 10 | step)
-        last = at
-    return np.array([*out, 0], "<u2").tobytes()

@@ -16,6 +16,20 @@ from beatloom.sources.synthetic import simulate_ecg
 from beatloom.streaming.incremental import analyze_stream, stream_recordings
 
 
+def encode_annotations(pairs: list[tuple[int, str]]) -> bytes:
+    """The inverse of the annotation reader, for round-trip checks."""
+    codes = {s: c for c, s in wfdb.SYMBOLS.items()}
+    out, last = [], 0
+    for at, symbol in pairs:
+        step = at - last
+        if step > 0x3FF:
+            out += [wfdb.SKIP << 10, (step >> 16) & 0xFFFF, step & 0xFFFF]
+            step = 0
+        out.append(codes[symbol] << 10 | step)
+        last = at
+    return np.array([*out, 0], "<u2").tobytes()
+
+
 @pytest.fixture(scope="module")
 def folder(tmp_path_factory):
     root = tmp_path_factory.mktemp("wfdb")
@@ -29,7 +43,7 @@ def folder(tmp_path_factory):
     b = rng.integers(-30000, 30000, 777).astype("<i2")
     (root / "s2.dat").write_bytes(b.tobytes())
     (root / "s2.hea").write_text("s2 1 100/0 777\ns2.dat 16 1000 16 0\n# <age>: 250 <sex>: F\n")
-    (root / "s1.atr").write_bytes(wfdb.encode_annotations([(5, "N"), (200, "V"), (5000, "+"), (70000, "N")]))
+    (root / "s1.atr").write_bytes(encode_annotations([(5, "N"), (200, "V"), (5000, "+"), (70000, "N")]))
     return str(root), a[:, 0], b
 
 
@@ -99,9 +113,23 @@ def test_stream_of_recordings(spark, tmp_path):
 def test_age_models(spark):
     rng = np.random.default_rng(0)
     age = rng.uniform(20, 80, 120)
-    rows = [(float(a), "M" if i % 2 else "F", float(2 * a + rng.normal(0, 3)), float(rng.normal())) for i, a in enumerate(age)]
-    df = spark.createDataFrame(rows, "age double, sex string, f1 double, f2 double")
+    rows = [(i, float(a), "M" if i % 2 else "F", float(2 * a + rng.normal(0, 3)), float(rng.normal())) for i, a in enumerate(age)]
+    df = spark.createDataFrame(rows, "subject long, age double, sex string, f1 double, f2 double")
     scores, fitted = AM.evaluate_models(df, ["f1", "f2"], top_k=2, folds=2, models=("elastic_net", "random_forest"))
     got = {r.model: r for r in scores.collect()}
+    again, _ = AM.evaluate_models(df.repartition(5), ["f1", "f2"], top_k=2, folds=2, models=("elastic_net",))
+    assert again.first().cv_mae == pytest.approx(got["elastic_net"].cv_mae, rel=1e-6)
     assert got["elastic_net"].r2 > 0.9 and got["elastic_net"].cv_mae < 6
     assert AM.importances(fitted["random_forest"], ["f1", "f2"])[0][0] == "f1"
+
+
+def test_wfdb_without_counts_and_with_unknown_formats(spark, tmp_path):
+    values = np.arange(-300, 300, dtype="<i2")
+    (tmp_path / "a.dat").write_bytes(values.tobytes())
+    (tmp_path / "a.hea").write_text("a 1 100\na.dat 16 200 11 0\n")
+    chunks = wfdb.read_signals(spark, str(tmp_path), chunk_seconds=2.0).orderBy("start").collect()
+    np.testing.assert_allclose(np.concatenate([c.y for c in chunks]), values / 200.0)
+    (tmp_path / "b.dat").write_bytes(b"\0" * 100)
+    (tmp_path / "b.hea").write_text("b 1 100 100\nb.dat 80 200 8 0\n")
+    with pytest.raises(Exception, match="storage format 80"):
+        wfdb.read_signals(spark, str(tmp_path)).collect()
