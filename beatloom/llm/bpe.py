@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cached_property, lru_cache
 from pathlib import Path
 
@@ -231,14 +232,23 @@ class Tokenizer:
     def codec(self) -> Codec:
         return codec(self.ranks, self.pattern)
 
+    @contextmanager
+    def working(self) -> Iterator[Codec]:
+        """The worker's codec for one task; what it remembered goes after."""
+        work = self.codec()
+        try:
+            yield work
+        finally:
+            work.cache.clear()
+
     def ids(self, text: Column | str) -> Column:
         """array<int> of a text column; no ids for null or empty."""
         own = self
 
         def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            work = own.codec()
-            for texts in batches:
-                yield pd.Series(work.encode_blocks(texts), index=texts.index, dtype=object)
+            with own.working() as work:
+                for texts in batches:
+                    yield pd.Series(work.encode_blocks(texts), index=texts.index, dtype=object)
 
         encode.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
         return F.pandas_udf(encode, "array<int>")(text)
@@ -248,10 +258,10 @@ class Tokenizer:
         own = self
 
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            work = own.codec()
-            for texts in batches:
-                ids = work.encode_blocks(texts)
-                yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series([work.decode(x) for x in ids], dtype=object)})
+            with own.working() as work:
+                for texts in batches:
+                    ids = work.encode_blocks(texts)
+                    yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series([work.decode(x) for x in ids], dtype=object)})
 
         run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
         return F.pandas_udf(run, "ids array<int>, decoded binary")(text)
@@ -261,9 +271,9 @@ class Tokenizer:
         own = self
 
         def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            work = own.codec()
-            for texts in batches:
-                yield pd.Series([len(x) for x in work.encode_blocks(texts)], index=texts.index, dtype="int64")
+            with own.working() as work:
+                for texts in batches:
+                    yield pd.Series([len(x) for x in work.encode_blocks(texts)], index=texts.index, dtype="int64")
 
         count.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
         return F.pandas_udf(count, "long")(text)

@@ -147,8 +147,8 @@ def host_rates(measured: DataFrame, host: str = "source") -> DataFrame:
 
 
 def judged(measured: DataFrame, host: str = "source") -> DataFrame:
-    """``measured`` and host_flagged, kept.  ``measured`` is read twice, so
-    pass a stored table."""
+    """``measured`` and host_flagged, kept.  ``measured`` is read twice: for
+    the hosts' rates, and for the documents."""
     hosts = stored(host_rates(measured, host).select(F.col("host").alias("_host"), *[f"{r.name}_strict" for r in RULES]), "verdicts")
     joined = measured.join(hosts, F.col(host).eqNullSafe(F.col("_host")), "left")
     bad, flagged = F.col("base_failed"), F.lit(False)
@@ -160,9 +160,10 @@ def judged(measured: DataFrame, host: str = "source") -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with their own columns only."""
+    """The documents that pass, with their own columns only.  The measures are
+    taken twice, which moves less than a copy of all texts would."""
     renamed = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)])
     place = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
-    measured = stored(with_measures(renamed, place["text"]), "measured")
+    measured = with_measures(renamed, place["text"])
     kept = judged(measured, place["source"]).where("kept")
     return kept.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -205,3 +205,22 @@ FROM based JOIN final USING (doc_id)
 def op10_dart_minhash(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates.classes(docs).select("doc_id", "class_id", "n_class", "keep")
+
+
+SQL["op9_chat_format"] = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+sized AS (
+  SELECT *, length(regexp_replace(text, '(\\|###|</turn>)', '\\\1', 'g')) + length('</turn>' || chr(10)) + CASE role
+    WHEN 'system' THEN length('### System: ') WHEN 'user' THEN length('### User: ') WHEN 'assistant' THEN length('### Assistant: ')
+    ELSE length('### Role: ') + length(regexp_replace(role, '(\\|###|</turn>)', '\\\1', 'g')) + 1 END AS size
+  FROM rows),
+joined AS (
+  SELECT conv_id, count(*)::BIGINT AS n_turns, sum(size)::BIGINT AS formatted_chars,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+         coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS trained
+  FROM sized GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(trained)::BIGINT AS loss_chars, sha256(trained) AS loss_sha256, formatted_chars
+FROM joined
+"""

@@ -33,7 +33,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _power_tables(n: int) -> list[np.ndarray]:
     if len(_powers[0]) < n:
-        size = 1 << max(n - 1, BLOCK_BYTES).bit_length()
+        size = max(n, BLOCK_BYTES + (1 << 16))
         for k, base in enumerate((_MULTIPLIER, _INVERSE)):
             steps = np.full(size, base, dtype=np.uint64)
             steps[0] = 1
