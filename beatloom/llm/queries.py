@@ -224,3 +224,67 @@ joined AS (
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(trained)::BIGINT AS loss_chars, sha256(trained) AS loss_sha256, formatted_chars
 FROM joined
 """
+
+
+def _sharding_sql(shards: int = 8) -> str:
+    """Row numbers, the Feistel network as nested steps, cycle walking as a
+    recursive query, and crc32 over half bytes."""
+    step = "{0}"
+    for key in sharding.Feistel(2).keys:
+        step = f"(SELECT * REPLACE (r AS l, xor(l, xor(y, y >> 13) & mask) AS r) FROM (SELECT * REPLACE ((y * {sharding.MIX[1]}) & {sharding.LOW32} AS y) FROM " \
+               f"(SELECT * REPLACE (xor(y, y >> 15) AS y) FROM (SELECT * REPLACE ((r * {sharding.MIX[0]} + {key}) & {sharding.LOW32} AS y) FROM {step}))))"
+    halves = "(SELECT id, n, h, mask, v >> h AS l, v & mask AS r, 0::UBIGINT AS y FROM {0})"
+    once = "SELECT id, n, h, mask, (r << h) | l AS v FROM " + step.format(halves)
+    table = []
+    for k in range(16):
+        for _ in range(4):
+            k = k >> 1 ^ (0xEDB88320 if k & 1 else 0)
+        table.append(k)
+    return f"""
+WITH RECURSIVE hexed AS (SELECT doc_id, string_split(hex(encode(coalesce(text, ''))), '') AS c, octet_length(encode(coalesce(text, ''))) AS bytes FROM documents),
+sized AS (
+  SELECT doc_id, bytes + 1 AS size, xor(list_reduce(list_prepend({sharding.LOW32}::BIGINT, CASE WHEN bytes = 0 THEN []::BIGINT[] ELSE list_transform(range(2 * bytes),
+    lambda j: (strpos('0123456789ABCDEF', c[CASE WHEN j % 2 = 0 THEN j + 2 ELSE j END]) - 1)::BIGINT) END),
+    lambda acc, x: xor(acc >> 4, ({table})[(xor(acc, x) & 15) + 1]::BIGINT)), {sharding.LOW32}::BIGINT) AS crc FROM hexed),
+numbered AS (SELECT *, (row_number() OVER (ORDER BY doc_id NULLS FIRST, size, crc) - 1)::UBIGINT AS id, (count(*) OVER ())::UBIGINT AS n FROM sized),
+half AS (SELECT id, n, greatest(1, (length(bin(greatest(n, 2) - 1)) + 1) // 2)::UBIGINT AS h FROM numbered),
+start AS (SELECT id, n, h, (1::UBIGINT << h) - 1 AS mask, id AS v FROM half),
+walk AS ({once.format("start")} UNION ALL {once.format("(SELECT * FROM walk WHERE v >= n)")})
+SELECT doc_id, size::BIGINT AS size, crc AS text_crc32, 'rows' AS law, (v % {shards})::INT AS shard, (v // {shards})::BIGINT AS slot, NULL::INT AS grown_shard
+FROM numbered JOIN (SELECT id, v FROM walk WHERE v < n) USING (id)
+"""
+
+
+SQL["op7_sharding"] = _sharding_sql()
+SQL["op5_suffix_dedup"] = """
+WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+strings AS (SELECT doc_id, i, md5_number(substr(h, (2 * i + 1)::BIGINT, 200)) AS s FROM (SELECT *, unnest(range(0, n - 99)) AS i FROM bytes WHERE n >= 100)),
+later AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM strings) WHERE k > 1),
+runs AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run
+         FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS fresh FROM later)),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM runs GROUP BY doc_id, run),
+parts AS (
+  SELECT doc_id, a, b, substr(h, (2 * coalesce(lag(b) OVER w, 0) + 1)::BIGINT, (2 * (a - coalesce(lag(b) OVER w, 0)))::BIGINT) AS part
+  FROM spans JOIN bytes USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY a)),
+cut AS (SELECT doc_id, count(*) AS k, sum(b - a)::BIGINT AS removed, max(b) AS last, string_agg(part, '' ORDER BY a) AS head FROM parts GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(k, 0) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, (2 * coalesce(last, 0) + 1)::BIGINT))) AS kept_sha256
+FROM bytes LEFT JOIN cut USING (doc_id)
+"""
+SQL["op10_dart_minhash"] = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+runs AS (SELECT doc_id, array_to_string(w[i : i + 4], ' ') AS run
+         FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM worded WHERE len(w) > 0)),
+counted AS (SELECT doc_id, run, count(*) AS c FROM runs GROUP BY ALL),
+total AS (SELECT doc_id, sum(c) AS n FROM counted GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.c, b.c)) AS n FROM counted a JOIN counted b ON a.run = b.run AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common c JOIN total x ON x.doc_id = a JOIN total y ON y.doc_id = b WHERE c.n >= 0.8 * (x.n + y.n - c.n) - 1e-9
+  UNION SELECT x.doc_id, y.doc_id FROM worded x JOIN worded y ON len(x.w) = 0 AND len(y.w) = 0 AND x.text = y.text AND x.doc_id < y.doc_id),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a),
+class AS (SELECT a AS doc_id, min(b) AS class_id, count(*) AS n_class FROM reach GROUP BY a)
+SELECT doc_id, class_id, n_class, doc_id = class_id AS keep FROM class
+"""
