@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from beatloom.functions.kernels import array_udf
 from beatloom.session import spread_over
+from beatloom.sources.recordings import HALO_SECONDS
 
 # Annotation codes of the published file format.
 SYMBOLS = {
@@ -70,8 +71,8 @@ def _samples(file, fmt, n_signals, gain, baseline, start, n):
     return (values[: n * width: width] - baseline) / gain
 
 
-def read_signals(spark: SparkSession, path: str, chunk_seconds: float = 300.0) -> DataFrame:
-    """Chunk rows of channel 0.  Tasks read byte ranges, so a record of any size
+def read_signals(spark: SparkSession, path: str, chunk_seconds: float = 300.0, halo_seconds: float = HALO_SECONDS) -> DataFrame:
+    """Haloed chunk rows of channel 0.  Tasks read byte ranges, so a record of any size
     is spread over as many tasks as it has chunks; the folder must be on a file
     system every executor mounts."""
     heads = read_headers(spark, path)
@@ -82,9 +83,13 @@ def read_signals(spark: SparkSession, path: str, chunk_seconds: float = 300.0) -
         "start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_samples") - 1, F.col("_len"))))
     cut = spread_over(cut.withColumn("chunk_id", F.floor(F.col("start") / F.col("_len"))), ["record_id", "chunk_id"])
     read = array_udf(_samples, "array<double>", strict=True)
-    n = F.least(F.col("_len"), F.col("n_samples") - F.col("start"))
-    return cut.select("record_id", "fs", "chunk_id", "start",
-                      read("file", "format", "n_signals", "gain", "baseline", "start", n).alias("y"))
+    halo = (F.bround(F.col("fs") * halo_seconds / 2) * 2).cast("long")
+    low = F.greatest(F.col("start") - halo, F.lit(0).cast("long"))
+    high = F.least(F.col("start") + F.col("_len") + halo, F.col("n_samples"))
+    return cut.select("record_id", "fs", "chunk_id", low.alias("start"),
+                      read("file", "format", "n_signals", "gain", "baseline", low, high - low).alias("y"),
+                      (F.col("start") - low).cast("int").alias("lead"),
+                      F.least(F.col("_len"), F.col("n_samples") - F.col("start")).cast("int").alias("core"))
 
 
 def _annotations(content: bytes) -> dict:

@@ -49,7 +49,7 @@ def folder(tmp_path_factory):
 
 def test_signals_by_byte_range(spark, folder):
     root, a, b = folder
-    rows = wfdb.read_signals(spark, root, chunk_seconds=1.0).orderBy("record_id", "chunk_id").collect()
+    rows = wfdb.read_signals(spark, root, chunk_seconds=1.0, halo_seconds=0.0).orderBy("record_id", "chunk_id").collect()
     got = {r: np.concatenate([x.y for x in rows if x.record_id == r]) for r in ("s1", "s2")}
     np.testing.assert_allclose(got["s1"], (a - 10) / 200)
     np.testing.assert_allclose(got["s2"], b / 1000)
@@ -127,7 +127,7 @@ def test_wfdb_without_counts_and_with_unknown_formats(spark, tmp_path):
     values = np.arange(-300, 300, dtype="<i2")
     (tmp_path / "a.dat").write_bytes(values.tobytes())
     (tmp_path / "a.hea").write_text("a 1 100\na.dat 16 200 11 0\n")
-    chunks = wfdb.read_signals(spark, str(tmp_path), chunk_seconds=2.0).orderBy("start").collect()
+    chunks = wfdb.read_signals(spark, str(tmp_path), chunk_seconds=2.0, halo_seconds=0.0).orderBy("start").collect()
     np.testing.assert_allclose(np.concatenate([c.y for c in chunks]), values / 200.0)
     (tmp_path / "b.dat").write_bytes(b"\0" * 100)
     (tmp_path / "b.hea").write_text("b 1 100 100\nb.dat 80 200 8 0\n")
