@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from beatloom.operators import hrv as H
 from beatloom.operators.ordered import sequence
-from beatloom.operators.quantiles import percentiles
+from beatloom.operators.quantiles import percentiles, upper_middle
 
 
 @pytest.fixture(scope="module")
@@ -114,3 +114,10 @@ def test_percentiles_of_odd_values(spark):
     assert percentiles(df.where("k = 'hot'"), [], "v", {"q": 0.25}).first()["q"] == 249.75
     assert percentiles(df.limit(0), ["k"], "v", {"q": 0.5}).count() == 0
     assert percentiles(df.limit(0), [], "v", {"q": 0.5}).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 8, 9])
+def test_median_of_the_upper_half(spark, n):
+    values = sorted(float(k * k) for k in range(n))
+    df = spark.createDataFrame([("a", v) for v in values], "k string, v double")
+    assert percentiles(df, ["k"], "v", {"m": upper_middle}).first()["m"] == np.median(values[n // 2 :])
