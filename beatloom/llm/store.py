@@ -38,6 +38,17 @@ def stored(df: DataFrame, label: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hash_sample(df: DataFrame, key: str, limit: int, *ties: str) -> DataFrame:
+    """At most ``limit`` rows, the first by a hash of ``key``.  Large tables are
+    thinned by that hash to some twice as many before, so that tasks do not
+    each send ``limit`` rows to the driver."""
+    n = df.count()
+    if n > 2 * limit:
+        share = int(2 * limit / n * (1 << 40))
+        df = df.where(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < share)
+    return df.orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 40)), key, *ties).limit(limit)
+
+
 def row_key(doc_id: Column, text: Column) -> Column:
     """Identity of a document row: rows equal in id and text share it."""
     return F.md5(F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("-")), F.coalesce(text, F.lit(""))))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from beatloom.llm import words
-from beatloom.llm.store import stored
+from beatloom.llm.store import hash_sample, stored
 
 SAMPLE = 2_000      # labelled rows of each kind used in training, at most
 VOCABULARY = 1_000  # terms kept, by the size of their z score
@@ -192,9 +192,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     their ids.  The vocabulary is counted in the cluster; the driver sees its
     terms and one short feature row per sampled text."""
     known = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").alias("_y"))
-    picked = [known.where(F.col("_y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
+    picked = [hash_sample(known.where(F.col("_y") == k), "doc_id", sample) for k in (0, 1)]
     chosen = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * sample ids
-    rows = stored(docs.select("doc_id", "text").join(chosen, "doc_id"), "sample")
+    joined = docs.select("doc_id", "text").join(chosen, "doc_id")
+    rows = stored(joined.limit(2 * sample), "sample")  # more only where ids repeat
     counts = {r["_y"]: r["count"] for r in rows.groupBy("_y").count().collect()}
     n_bad, n_good = counts.get(1, 0), counts.get(0, 0)
     if not n_bad or not n_good:
