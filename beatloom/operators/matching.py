@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from beatloom.session import cut_lineage
+from beatloom.operators.ordered import sequence
+from beatloom.session import cut_lineage, written
 
 _MAX_ROUNDS = 10_000
+RUN_LIMIT = 200_000  # points of a run that one task pairs at once
 
 
 def hits(truth: DataFrame, found: DataFrame, keys: list[str], at: str, tolerance: int) -> DataFrame:
@@ -44,35 +52,106 @@ def hits(truth: DataFrame, found: DataFrame, keys: list[str], at: str, tolerance
 
 
 def match_one_to_one(
-    truth: DataFrame, found: DataFrame, keys: list[str], at: str, tolerance: int, slice_width: int,
+    truth: DataFrame, found: DataFrame, keys: list[str], at: str, tolerance: int, slice_width: int, run_limit: int = RUN_LIMIT,
 ) -> DataFrame:
     """Greedy closest-first pairing: (keys, truth_at, found_at, distance).
 
-    Taking the globally shortest free pair again and again equals pairing, in
-    rounds, every two points that are each other's nearest free partner: such a
-    pair is shorter than all pairs it competes with.  A point's nearest partner
-    is one of its two neighbours of the other kind, found by a window in
-    (record, time slice) after copying the points within ``tolerance`` of a
-    slice border across it.  Equal distances go to the earlier truth, then to
-    the earlier detection.  Positions are unique per record and kind.
+    Points further apart than ``tolerance`` part the record into runs, and runs
+    of one kind are dropped.  The shortest pair of a run is always one of
+    neighbours, so a heap over neighbours pairs a whole run at once; many runs
+    share a task.  In runs of over ``run_limit`` points all points that are each
+    other's nearest free partner are paired first, as such a pair is shorter
+    than all pairs it competes with; what is left is parted into runs anew.
+    Equal distances go to the earlier truth, then to the earlier detection.
+    Positions are unique per record and kind.
     """
     width = max(int(slice_width), int(tolerance) + 1)
     point = lambda df, kind: df.select(*keys, F.col(at).cast("long").alias("_at"), F.lit(kind).alias("_kind")).distinct()
-    points = cut_lineage(point(truth, 0).unionByName(point(found, 1)))
-    matched: DataFrame | None = None
+    points = point(truth, 0).unionByName(point(found, 1))
+    done: list[DataFrame] = []
     for _ in range(_MAX_ROUNDS):
-        pairs = cut_lineage(_mutual_nearest(points, keys, tolerance, width))
-        if pairs.isEmpty():
-            break
-        matched = pairs if matched is None else matched.unionByName(pairs)
+        runs = written(_runs(points, keys, int(tolerance)))
+        done.append(_paired(runs.where(F.col("_n") <= run_limit), keys, int(tolerance)))
+        long = runs.where(F.col("_n") > run_limit).select(*keys, "_at", "_kind")
+        if long.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        pairs = cut_lineage(_mutual_nearest(long, keys, tolerance, width))
+        done.append(pairs)
         used = (
             pairs.select(*keys, F.col("truth_at").alias("_at"), F.lit(0).alias("_kind"))
             .unionByName(pairs.select(*keys, F.col("found_at").alias("_at"), F.lit(1).alias("_kind")))
         )
-        points = cut_lineage(points.join(used, [*keys, "_at", "_kind"], "left_anti"))
-    else:
-        raise RuntimeError("matching did not settle")
-    return pairs if matched is None else matched
+        points = cut_lineage(long.join(used, [*keys, "_at", "_kind"], "left_anti"))
+    raise RuntimeError("matching did not settle")
+
+
+def _runs(points: DataFrame, keys: list[str], tolerance: int) -> DataFrame:
+    """Points of runs that hold both kinds, with the run and its size."""
+    seq = sequence(points, keys, ["_at", "_kind"])
+    gap = lambda w: {"_new": (F.coalesce(F.col("_at") - F.lag("_at").over(w), F.lit(tolerance + 1)) > tolerance).cast("long")}
+    rows = seq.near(gap, before=1).running_sum("_new", "_run").rows().drop("_new")
+    sizes = rows.groupBy(*keys, "_run").agg(F.count(F.lit(1)).alias("_n"), F.count_distinct("_kind").alias("_kinds"))
+    return rows.join(sizes.where("_kinds = 2").drop("_kinds"), [*keys, "_run"])
+
+
+def _paired(runs: DataFrame, keys: list[str], tolerance: int) -> DataFrame:
+    """Closest-first pairs of whole runs, a sorted partition at a time."""
+    names = [*keys, "_run"]
+
+    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
+        run = (rows[names] != rows[names].shift()).any(axis=1).cumsum().to_numpy()
+        t, f = closest_first(rows["_at"].to_numpy(), rows["_kind"].to_numpy(), run, tolerance)
+        at = rows["_at"].to_numpy()
+        out = rows[keys].iloc[t].reset_index(drop=True)
+        return out.assign(truth_at=at[t], found_at=at[f], distance=np.abs(at[f] - at[t]))
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # the last run of a batch may go on in the next
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            last = (rows[names] == rows[names].iloc[-1]).all(axis=1) if len(rows) else []
+            held = rows[last]
+            yield pairs(rows[~last])
+        if held is not None:
+            yield pairs(held)
+
+    order = [*names, "_at", "_kind"]
+    kinds = ", ".join(f"{k} {runs.schema[k].dataType.simpleString()}" for k in keys)
+    placed = runs.select(*order).repartition(*names).sortWithinPartitions(*order)
+    return placed.mapInPandas(walk, f"{kinds}, truth_at long, found_at long, distance long")
+
+
+def closest_first(at: np.ndarray, kind: np.ndarray, run: np.ndarray, tolerance: int) -> tuple[list[int], list[int]]:
+    """Row numbers of truths and detections paired in runs of sorted points."""
+    n = len(at)
+    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+    at, kind, run = at.tolist(), kind.tolist(), run.tolist()
+
+    def pair(i: int, j: int) -> tuple | None:
+        if i < 0 or j >= n or run[i] != run[j] or kind[i] == kind[j] or at[j] - at[i] > tolerance:
+            return None
+        t, f = (i, j) if kind[i] == 0 else (j, i)
+        return at[j] - at[i], at[t], at[f], t, f
+
+    heap = [p for i in range(n - 1) if (p := pair(i, i + 1))]
+    heapq.heapify(heap)
+    free, truths, founds = bytearray(b"\1") * n, [], []
+    while heap:
+        *_, t, f = heapq.heappop(heap)
+        if not (free[t] and free[f]):
+            continue
+        free[t] = free[f] = 0
+        truths.append(t)
+        founds.append(f)
+        i, j = min(t, f), max(t, f)
+        low, high = before[i], after[j]
+        if low >= 0:
+            after[low] = high
+        if high < n:
+            before[high] = low
+        if p := pair(low, high):
+            heapq.heappush(heap, p)
+    return truths, founds
 
 
 def _mutual_nearest(points: DataFrame, keys: list[str], tolerance: int, width: int) -> DataFrame:

@@ -34,10 +34,10 @@ def test_hits_equal_brute_force(points, tol):
     assert got.hit.tolist() == want
 
 
-@pytest.mark.parametrize("tol,width", [(3, 10), (25, 60)])
-def test_greedy_equals_brute_force(points, tol, width):
+@pytest.mark.parametrize("tol,width,limit", [(3, 10, 1000), (25, 60, 1000), (25, 60, 5), (25, 60, 40)])
+def test_greedy_equals_brute_force(points, tol, width, limit):
     t, f, ts, fs = points
-    got = M.match_one_to_one(ts, fs, ["rec"], "at", tol, width).toPandas()
+    got = M.match_one_to_one(ts, fs, ["rec"], "at", tol, width, limit).toPandas()
     for rec in sorted(t.rec.unique()):
         mine = sorted(zip(got.truth_at[got.rec == rec].astype(int), got.found_at[got.rec == rec].astype(int)))
         assert mine == brute_greedy(t["at"][t.rec == rec], f["at"][f.rec == rec], tol)
@@ -47,3 +47,13 @@ def test_no_candidates(spark, points):
     _, _, ts, fs = points
     far = fs.selectExpr("rec", "at + 100000 AS at")
     assert M.match_one_to_one(ts, far, ["rec"], "at", 5, 50).count() == 0
+
+
+def test_shrinking_chain(spark):
+    """Every pair competes with the one before it."""
+    gaps = np.arange(10_000, 0, -1)
+    at = np.cumsum(gaps)
+    truth = spark.createDataFrame(pd.DataFrame({"rec": 1, "at": at[::2]}))
+    found = spark.createDataFrame(pd.DataFrame({"rec": 1, "at": at[1::2]}))
+    got = M.match_one_to_one(truth, found, ["rec"], "at", 20_000, 30_000).toPandas()
+    assert len(got) == 5000 and got.distance.sum() == gaps[1::2].sum()
