@@ -228,7 +228,8 @@ def _verified(cells: DataFrame, docs: DataFrame) -> DataFrame:
     wanted = cells.groupBy("key").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"),
                                       F.collect_list(F.struct("cell", "block")).alias("cells"))
     texts = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
-    rows = wanted.join(texts, "key").select("fp", "bands", "cells", "text")
+    # Repeated rows share a key; one of them stands for all in the cells.
+    rows = wanted.join(texts, "key").dropDuplicates(["key"]).select("fp", "bands", "cells", "text")
     spread = "array<struct<cell:string,block:int>>"
     made = rows.mapInPandas(sets, f"fp binary, bands array<bigint>, cells {spread}, units array<bigint>")
     dealt = made.select("fp", "bands", "units", F.explode("cells").alias("c")).select("fp", "bands", "units", "c.cell", "c.block")
