@@ -44,7 +44,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 26, 5
 CELL = 1024
-BLOCK = 1 << 19  # bytes of text sketched at once
+BLOCK = 1 << 18  # bytes of text sketched at once
 
 
 def elements(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
