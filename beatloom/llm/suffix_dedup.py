@@ -171,8 +171,9 @@ def _pack(pid: int, kind: int, docs: np.ndarray, of: np.ndarray, gram: np.ndarra
 
 def _flushed(rows: list[tuple], parts: int) -> Iterator[dict]:
     """Packs of some documents (null, id, key, bytes): kind 0 anchors by
-    partition, kind 1 contexts that repeat an earlier one of these documents."""
-    rows.sort(key=lambda r: r[:3])
+    partition, kind 1 contexts that repeat an earlier one of these documents.
+    Rows of one name are one document."""
+    rows = sorted({r[:3]: r for r in rows}.values(), key=lambda r: r[:3])
     docs = np.array([(*r[:3], 0) for r in rows], dtype=DOC)
     made, first = [], 0
     for part, texts in words.blocks(pd.Series([r[3] for r in rows], dtype=object)):
@@ -253,6 +254,9 @@ def _marks(group: pd.DataFrame, limit: int) -> pd.DataFrame:
     twin[:-1] |= twin[1:]
     by = by[twin]
     by = by[np.lexsort((pos[by], of[by], context[by], gram[by]))]
+    once = np.ones(len(by), dtype=bool)  # a row repeated in another pack brings its anchors again
+    once[1:] = (gram[by[1:]] != gram[by[:-1]]) | (of[by[1:]] != of[by[:-1]]) | (pos[by[1:]] != pos[by[:-1]])
+    by = by[once]
     gram, context, of, pos = gram[by], context[by], of[by], pos[by].astype(np.int64)
     new_gram = np.ones(len(by), dtype=bool)
     new_gram[1:] = gram[1:] != gram[:-1]

@@ -76,6 +76,14 @@ def test_hot_anchors_and_many_packs(spark, hot, shard):
     check(spark, passages(2), sd.Sizes(pack=2000, part=3000, shard=shard, hot=hot))
 
 
+@pytest.mark.parametrize("pack", [1, 1 << 20])
+def test_repeated_rows_keep_what_occurs_nowhere_else(spark, pack):
+    rng = random.Random(3)
+    alone, inside = ("".join(rng.choice("abcdefgh ij") for _ in range(n)) for n in (700, 400))
+    rows = [(5, alone), (6, "other " + inside), (7, inside + inside), (None, alone[:250] + "end"), (8, "short")]
+    check(spark, rows * 4 + [(5, alone)] * 30, sd.Sizes(pack=pack))
+
+
 def test_clean_keeps_columns_and_characters(spark):
     base = "é" * 60 + "a plain passage of text " * 6
     rows = [(1, base, "en", "s", 1, "x"), (2, "ü" + base + "ç", "en", "s", 2, "y"), (None, None, None, None, None, None)]
