@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beatloom.llm import words
-from beatloom.llm.store import hash_sample
+from beatloom.llm.store import hash_order, hash_sample, in_turns
 
 SAMPLE = 20_000  # labelled rows that a model is fitted on, at most
 
@@ -216,12 +216,14 @@ def held_out(doc_id: Column) -> Column:
 
 def train(described: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE) -> Forest:
     """Fit on at most ``sample`` labelled rows that are not held out, taken in
-    the order of a hash of their ids."""
-    mark = labels.where(F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).alias("_y"))
+    the order of a hash of their ids, every id once before repeated ones again."""
+    mark = labels.where(F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).alias("_y")).distinct()
     mark = hash_sample(mark, "doc_id", sample, "_y")
-    rows = described.select("doc_id", "statistics").join(mark, "doc_id").orderBy("doc_id", "_y").limit(sample).toPandas()
+    joined = in_turns(described.select("doc_id", "statistics").join(mark, "doc_id"), "doc_id", sample, "_y", F.col("statistics"))
+    rows = joined.orderBy("_turn", hash_order("doc_id"), "doc_id", "_y").limit(sample).toPandas()
     if not len(rows):
         return fit(np.empty((0, len(STATISTICS))), np.empty(0))
+    rows = rows.sort_values(["doc_id", "_y", "_turn"], kind="stable")
     return fit(np.stack(rows["statistics"].to_numpy()).astype(np.float32).astype(float), rows["_y"].to_numpy(dtype=float))
 
 

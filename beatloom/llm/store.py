@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from beatloom.session import shared_folder, tune
@@ -13,6 +13,7 @@ from beatloom.session import shared_folder, tune
 # Small batches to and from Python: some texts are very long.
 BATCH_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.optimizer.windowGroupLimitThreshold": "20000",  # ``in_turns`` bounds rows before they are shuffled
 }
 
 
@@ -45,8 +46,19 @@ def hash_sample(df: DataFrame, key: str, limit: int, *ties: str) -> DataFrame:
     n = df.count()
     if n > 2 * limit:
         share = int(2 * limit / n * (1 << 40))
-        df = df.where(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < share)
-    return df.orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 40)), key, *ties).limit(limit)
+        df = df.where(hash_order(key) < share)
+    return df.orderBy(hash_order(key), key, *ties).limit(limit)
+
+
+def hash_order(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(1 << 40))
+
+
+def in_turns(df: DataFrame, key: str, limit: int, kind: str, *ties: Column) -> DataFrame:
+    """``df`` with ``_turn``, the number of a row among those of its ``key`` and
+    ``kind``, up to ``limit``: in this order repeated keys crowd out no other."""
+    turn = F.row_number().over(Window.partitionBy(key, kind).orderBy(*ties))
+    return df.withColumn("_turn", turn).where(F.col("_turn") <= limit)
 
 
 def row_key(doc_id: Column, text: Column) -> Column:

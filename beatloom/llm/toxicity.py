@@ -24,11 +24,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from beatloom.llm import words
-from beatloom.llm.store import hash_sample, stored
+from beatloom.llm.store import hash_order, hash_sample, in_turns, stored
 
 SAMPLE = 2_000      # labelled rows of each kind used in training, at most
 VOCABULARY = 1_000  # terms kept, by the size of their z score
@@ -189,13 +189,16 @@ def _terms(sample: DataFrame, n_bad: int, n_good: int) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     """Fit on at most ``sample`` rows of either label in the order of a hash of
-    their ids.  The vocabulary is counted in the cluster; the driver sees its
+    their ids, every id once before repeated ones again.  The vocabulary is counted in the cluster; the driver sees its
     terms and one short feature row per sampled text."""
-    known = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").alias("_y"))
+    known = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").alias("_y")).distinct()
     picked = [hash_sample(known.where(F.col("_y") == k), "doc_id", sample) for k in (0, 1)]
     chosen = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * sample ids
     joined = docs.select("doc_id", "text").join(chosen, "doc_id")
-    rows = stored(joined.limit(2 * sample), "sample")  # more only where ids repeat
+    turns = in_turns(joined, "doc_id", sample, "_y", F.md5(F.coalesce("text", F.lit(""))))
+    place = F.row_number().over(Window.partitionBy("_y").orderBy("_turn", hash_order("doc_id"), "doc_id"))
+    bounded = turns.withColumn("_place", place).where(F.col("_place") <= sample)
+    rows = stored(bounded.drop("_turn", "_place"), "sample")  # cut only where ids repeat
     counts = {r["_y"]: r["count"] for r in rows.groupBy("_y").count().collect()}
     n_bad, n_good = counts.get(1, 0), counts.get(0, 0)
     if not n_bad or not n_good:

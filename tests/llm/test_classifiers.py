@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 import pytest
 
@@ -91,6 +93,20 @@ def test_chain_without_two_kinds(spark, labels):
     assert all(abs(r["toxicity"]["toxic"] - share) < 0.01 for r in tx.score(docs, chain).collect())
 
 
+@pytest.mark.parametrize("rows,labels", [(500, 1), (1, 500)])
+def test_repeated_ids_crowd_out_nobody(spark, monkeypatch, rows, labels):
+    some = [k for k in range(1, 60) if zlib.crc32(str(k).encode()) % 4 != 2]
+    docs = spark.createDataFrame([(0, "a plain text")] * rows + [(k, f"some bad text {k}") for k in some], "doc_id long, text string").coalesce(1)
+    marks = spark.createDataFrame([(0, 0)] * labels + [(k, 1) for k in some], "doc_id long, toxic int").coalesce(1)
+    seen = []
+    monkeypatch.setattr(tx, "fit_models", lambda x, share, parts, y: seen.append(y) or [])
+    tx.train(docs, marks, sample=60)
+    assert len(seen) == 1 and seen[0].sum() == len(some) and (seen[0] == 0).sum() == min(60, rows)
+    monkeypatch.setattr(qt, "fit", lambda x, y: seen.append(y))
+    qt.train(qt.with_statistics(docs), marks, "toxic", sample=60)
+    assert seen[1].sum() == len(some) and (seen[1] == 0).sum() == min(60 - len(some), rows)
+
+
 def test_word_hashes_do_not_depend_on_position():
     block = words.Block([b"alpha beta", b"beta", b"", b"x beta!"])
     data = block.lowered()
