@@ -85,7 +85,7 @@ class Rollup:
         totals = both.groupBy(*KEY).agg(*sums).where("n_docs <> 0 or n_tokens <> 0")
         batches = state.where("batch is not null").select("batch").unionByName(name)
         both = totals.unionByName(batches, allowMissingColumns=True).select(*[c.split()[0] for c in SCHEMA.split(", ")])
-        both.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{last + 1:08d}")
+        both.write.mode("overwrite").parquet(f"{self.path}/{last + 1:08d}")
         return True
 
     def totals(self) -> DataFrame:

@@ -1,5 +1,7 @@
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from beatloom.llm import token_rollup as tr
 from beatloom.llm.queries import QUERIES, byte_bpe
 
@@ -28,6 +30,24 @@ def test_half_written_commit_is_ignored(spark, tmp_path):
     assert rollup.commit("2", tr.inserts(rows)) and [r["n_tokens"] for r in rollup.totals().collect()] == [10]
 
 
+def test_totals_are_written_in_several_tasks(spark, tmp_path):
+    keys = [f"spark.sql.{k}" for k in ("adaptive.coalescePartitions.enabled", "shuffle.partitions")]
+    old = [spark.conf.get(k) for k in keys]
+    try:
+        for k, v in zip(keys, ("false", "4")):
+            spark.conf.set(k, v)
+        rollup = tr.Rollup(spark, str(tmp_path / "rollup"))
+        rows = spark.createDataFrame([(f"host {k}", "en", "v1", k) for k in range(200)], "source string, lang string, version string, tokens long")
+        assert rollup.commit("1", tr.inserts(rows)) and not rollup.commit("1", tr.inserts(rows)) and rollup.commit("2", tr.inserts(rows))
+    finally:
+        for k, v in zip(keys, old):
+            spark.conf.set(k, v)
+    got = rollup.totals()
+    assert got.select(F.input_file_name()).distinct().count() > 1
+    assert {(r["source"], r["n_docs"], r["n_tokens"]) for r in got.collect()} == {(f"host {k}", 2, 2 * k) for k in range(200)}
+    assert got.count() == 200
+
+
 def test_query(spark):
     sf, codec = "/root/testdata/sf0.001", byte_bpe().codec()
     toxic = {r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 1").collect()}
