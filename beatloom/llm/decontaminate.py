@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from beatloom.llm import words
+from beatloom.llm.store import stored
 
 SIZE = 10
 SHARD_BYTES = 8 << 20
@@ -251,17 +253,19 @@ def owner_of_spread(spread_at: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return owner[np.searchsorted(places, spread_at)]
 
 
-def _phrase_blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[Phrases]:
+def _phrase_blocks(benchmark: DataFrame, item: str, text: str) -> tuple[int, Iterator[Phrases]]:
+    """Number of blocks, and the blocks, each made when it is asked for."""
     size = benchmark.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n = max(1, -(-int(size) // PHRASE_BYTES))
     block = F.pmod(F.xxhash64(text), F.lit(n))
-    for k in range(n):
-        yield Phrases.of([tuple(r) for r in benchmark.where(block == k).select(item, text).collect()])
+    return n, (Phrases.of([tuple(r) for r in benchmark.where(block == k).select(item, text).collect()]) for k in range(n))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
          out: str = "hits") -> DataFrame:
-    """``docs`` and ``out``: n_words, n_hit, spans of hit words, items."""
+    """``docs`` and ``out``: n_words, n_hit, spans of hit words, items.  Of
+    several blocks of phrases, one after another is searched and its hits
+    stored by a hash of the text, on which alone they depend."""
     kind = benchmark.schema[item].dataType.simpleString()
     span = "array<struct<first:int,last:int,start:int,end:int>>"
 
@@ -278,15 +282,26 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
         run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
         return F.pandas_udf(run, f"n_words long, spans {span}, items array<{kind}>")
 
-    blocks = [searcher(p)(text) for p in _phrase_blocks(benchmark, item, item_text)]
-    names = [f"_hits_{k}" for k in range(len(blocks))]
-    df = docs.select("*", *[b.alias(n) for n, b in zip(names, blocks)])
-    spans = F.col(f"{names[0]}.spans")
-    if len(names) > 1:  # spans of several blocks may touch or overlap
-        spans = _merged(F.array_sort(F.flatten(F.array(*[F.col(f"{n}.spans") for n in names]))))
+    n_blocks, blocks = _phrase_blocks(benchmark, item, item_text)
+    if n_blocks == 1:
+        df = docs.select("*", searcher(next(blocks))(text).alias("_hits"))
+        spans, items = F.col("_hits.spans"), F.array_distinct("_hits.items")
+    else:
+        key = F.md5(F.coalesce(F.col(text), F.lit("")))
+        parts = []
+        for phrases in blocks:
+            search = searcher(phrases).asNondeterministic()  # else the filter searches a second time
+            hits = docs.select(key.alias("_text_key"), search(text).alias("h")).where(F.size("h.spans") > 0)
+            parts.append(stored(hits.select("_text_key", "h.spans", "h.items").dropDuplicates(["_text_key"]), "hits"))
+        found = reduce(DataFrame.unionByName, parts).groupBy("_text_key").agg(
+            F.flatten(F.collect_list("spans")).alias("_spans"), F.flatten(F.collect_list("items")).alias("_items"))
+        df = docs.withColumn("_hits", searcher(Phrases.of([]))(text)).withColumn("_key_of", key)
+        df = df.join(found, F.col("_key_of") == F.col("_text_key"), "left")
+        # spans of several blocks may touch or overlap
+        spans = _merged(F.array_sort(F.coalesce("_spans", "_hits.spans")))
+        items = F.array_distinct(F.coalesce("_items", "_hits.items"))
     n_hit = F.aggregate(spans, F.lit(0).cast("long"), lambda acc, s: acc + s["last"] - s["first"] + 1)
-    items = F.array_distinct(F.flatten(F.array(*[F.col(f"{n}.items") for n in names])))
-    made = F.struct(F.col(f"{names[0]}.n_words").alias("n_words"), n_hit.alias("n_hit"), spans.alias("spans"), items.alias("items"))
+    made = F.struct(F.col("_hits.n_words").alias("n_words"), n_hit.alias("n_hit"), spans.alias("spans"), items.alias("items"))
     return df.select(*[df[f"`{c}`"] for c in docs.columns], made.alias(out))
 
 

@@ -86,3 +86,18 @@ def test_clean(spark):
                                  "doc_id long, text string, n_chars long, hits string")
     got = {r["doc_id"]: tuple(r) for r in dc.clean(docs, bench).collect()}
     assert got[1] == (1, "é ! fin ", 8, "k") and got[2] == (2, "uno dos", 7, "k") and got[None] == (None,) * 4
+
+
+def test_blocks_are_searched_one_after_another(spark, monkeypatch):
+    monkeypatch.setattr(dc, "PHRASE_BYTES", 100)
+    data, items = rows()
+    made, write, events = dc.Phrases.of, getattr(dc, "stored", None), []
+    monkeypatch.setattr(dc.Phrases, "of", lambda found: events.append("made" if found else "none") or made(found))
+    monkeypatch.setattr(dc, "stored", lambda *a: events.append("written") or write(*a), raising=False)
+    docs = spark.createDataFrame(data + data[:3], "doc_id long, text string")
+    got = dc.find(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    after = [b for a, b in zip(events, events[1:]) if a == "made"]
+    assert len(after) > 3 and set(after) == {"written"}
+    for r in got:
+        assert (r["hits"]["n_words"], r["hits"]["n_hit"], sorted(r["hits"]["items"])) == brute(r["text"], items)
+    assert len(got) == len(data) + 3
