@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beatloom.llm import bpe, chat, decontaminate, near_duplicates, quality_rules, quality_trees, sharding, suffix_dedup, token_rollup, toxicity
+from beatloom.llm import (
+    bpe, chat, decontaminate, merkle, near_duplicates, quality_rules, quality_trees, secrets, sharding, suffix_dedup, token_rollup,
+    toxicity, vector_codes,
+)
 from beatloom.llm.store import read, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -288,3 +291,128 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b F
 class AS (SELECT a AS doc_id, min(b) AS class_id, count(*) AS n_class FROM reach GROUP BY a)
 SELECT doc_id, class_id, n_class, doc_id = class_id AS keep FROM class
 """
+
+
+# -- vector codes, Merkle manifest, secrets ---------------------------------
+@_query
+def op11_vector_codes(spark, sf_dir):
+    coded, books = vector_codes.compress(read(spark, sf_dir, "embeddings"), n_parts=16, n_entries=64, rounds=2)
+    return vector_codes.with_label_error(coded).select(
+        "vec_id", "code", "error", "label_error", F.lit(books.digest() if books else None).cast("string").alias("codebooks_sha256"))
+
+
+def _codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    def assigned(name: str, books: str) -> str:
+        return f"""
+{name} AS (
+  SELECT vec_id, p, part, best % {entries} AS k, best // {entries} AS far FROM (
+    SELECT q.vec_id, q.p, any_value(q.part) AS part,
+           min(list_sum(list_transform(range(1, len(q.part) + 1), lambda i: (q.part[i] - b.part[i]) * (q.part[i] - b.part[i])))::HUGEINT * {entries} + b.k) AS best
+    FROM parts q JOIN {books} b USING (p) GROUP BY q.vec_id, q.p))"""
+
+    def averaged(name: str, given: str, books: str) -> str:
+        return f"""
+{name} AS (
+  SELECT p, k, coalesce(m.part, b.part) AS part FROM {books} b LEFT JOIN (
+    SELECT p, k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS part FROM (
+      SELECT p, k, i, sum(part[i]) AS s, count(*) AS n FROM (SELECT p, k, part, unnest(range(1, len(part) + 1)) AS i FROM {given}) GROUP BY p, k, i)
+    GROUP BY p, k) m USING (p, k))"""
+
+    steps = []
+    for r in range(rounds):
+        steps += [assigned(f"a{r}", f"b{r}"), averaged(f"b{r + 1}", f"a{r}", f"b{r}")]
+    steps.append(assigned(f"a{rounds}", f"b{rounds}"))
+    return f"""
+WITH whole AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT vec_id, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS part
+          FROM (SELECT *, unnest(range({parts})) AS p FROM whole)),
+seeds AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM whole ORDER BY vec_id LIMIT {entries}),
+b0 AS (SELECT p, k, part FROM seeds JOIN parts USING (vec_id)),{",".join(steps)},
+coded AS (SELECT vec_id, label, string_agg(printf('%02x', k::BIGINT), '' ORDER BY p) AS code, sum(far)::BIGINT AS error
+          FROM a{rounds} JOIN whole USING (vec_id) GROUP BY vec_id, label),
+books AS (SELECT sha256(string_agg(array_to_string(part, ','), ',' ORDER BY p, k)) AS digest FROM b{rounds})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, digest AS codebooks_sha256 FROM coded, books
+"""
+
+
+SQL["op11_vector_codes"] = _codes_sql()
+
+
+@_query
+def op12_merkle_manifest(spark, sf_dir):
+    """Every document's proof; a third of the documents tampered with."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    struck = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    proofs = merkle.documents_manifest(docs, {"text": F.when(struck, lowered).otherwise(F.col("text"))})
+    return proofs.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root",
+                         (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _merkle_sql() -> str:
+    """Levels by a recursive query; siblings by joining a leaf's ancestor to
+    its run; folding by a second recursive query.  crc32 over half bytes."""
+    table = []
+    for k in range(16):
+        for _ in range(4):
+            k = k >> 1 ^ (0xEDB88320 if k & 1 else 0)
+        table.append(k)
+    low32 = 0xFFFFFFFF
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode({c}::VARCHAR)) || ':' || {c} END"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    up = lambda source: f"""
+  SELECT * FROM {source} UNION ALL
+  SELECT tree, level + 1, place // 8, sha256(string_agg(d, '' ORDER BY place)), (n + 7) // 8 FROM {{0}} WHERE n > 1 GROUP BY tree, level, place // 8, n"""
+    path = lambda nodes, leaves: f"""
+  SELECT l.id, x.level, coalesce(string_agg(s.d, '' ORDER BY s.place) FILTER (s.place < x.place), '') AS before,
+         coalesce(string_agg(s.d, '' ORDER BY s.place) FILTER (s.place > x.place), '') AS after
+  FROM {leaves} l JOIN {nodes} x ON x.tree = l.tree AND x.place = l.place // (8 ** x.level)::BIGINT AND x.n > 1
+  JOIN {nodes} s ON s.tree = x.tree AND s.level = x.level AND s.place // 8 = x.place // 8 GROUP BY l.id, x.level"""
+    return f"""
+WITH RECURSIVE lowered AS (
+  SELECT *, CASE WHEN xor(list_reduce(list_prepend({low32}::BIGINT, list_transform(range(2 * length(hexed)), lambda j:
+      CASE WHEN j % 2 = 0 THEN (strpos('0123456789', hexed[j // 2 + 1]) - 1)::BIGINT ELSE 3 END)),
+      lambda acc, x: xor(acc >> 4, ({table})[(xor(acc, x) & 15) + 1]::BIGINT)), {low32}::BIGINT) % 3 = 0
+    THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS changed
+  FROM (SELECT *, doc_id::VARCHAR AS hexed FROM documents)),
+leaves AS (
+  SELECT doc_id AS id, coalesce('=' || lang, '') AS tree, {leaf("text")} AS d, {leaf("changed")} AS altered,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS place, count(*) OVER (PARTITION BY lang) AS n FROM lowered),
+base AS (SELECT tree, 0 AS level, place, d, n FROM leaves),
+nodes AS ({up("base").format("nodes")}),
+subroots AS (SELECT tree AS id, 0 AS tree, d, row_number() OVER (ORDER BY encode(tree)) - 1 AS place, count(*) OVER () AS n FROM nodes WHERE n = 1),
+over_base AS (SELECT tree, 0 AS level, place, d, n FROM subroots),
+over_nodes AS ({up("over_base").format("over_nodes")}),
+low AS ({path("nodes", "leaves")}),
+high AS ({path("over_nodes", "subroots")}),
+steps AS (
+  SELECT id, row_number() OVER (PARTITION BY id ORDER BY part, level) - 1 AS step, before, after FROM (
+    SELECT id, 0 AS part, level, before, after FROM low
+    UNION ALL SELECT l.id, 1, h.level, h.before, h.after FROM leaves l JOIN high h ON h.id = l.tree)),
+proofs AS (SELECT id, sha256(string_agg(before || after, '' ORDER BY step)) AS proof FROM steps GROUP BY id),
+folded AS (
+  SELECT id, 0 AS step, altered AS d FROM leaves
+  UNION ALL SELECT f.id, f.step + 1, sha256(s.before || f.d || s.after) FROM folded f JOIN steps s ON s.id = f.id AND s.step = f.step),
+ends AS (SELECT id, max_by(d, step) AS d FROM folded GROUP BY id)
+SELECT l.id AS doc_id, l.d AS leaf, s.d AS subroot, r.d AS root, coalesce(p.proof, sha256('')) AS proof_sha256,
+       e.d AS folded_root, e.d = r.d AS verified
+FROM leaves l JOIN subroots s ON s.id = l.tree JOIN (SELECT d FROM over_nodes WHERE n = 1) r ON true
+JOIN ends e ON e.id = l.id LEFT JOIN proofs p ON p.id = l.id
+"""
+
+
+SQL["op12_merkle_manifest"] = _merkle_sql()
+
+
+@_query
+def op13_secret_scan(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.with_findings(docs, secrets.identifiers(docs)).select("doc_id", "findings")
+    count = lambda kind: F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])), ",")
+    return found.select(
+        "doc_id", *[count(kind).alias(f"n_{kind}") for kind in secrets.KINDS],
+        F.sha2(joined(F.filter("findings", lambda f: f["kind"] != "novel")), 256).alias("base_sha256"),
+        joined(F.col("findings")).alias("spans"))
