@@ -242,4 +242,4 @@ def documents_manifest(docs: DataFrame, altered: dict[str, Column] | None = None
     leaves = docs.select(
         F.col("lang").alias("tree"), F.col("doc_id").alias("id"), leaf(columns).alias("leaf"),
         leaf({**columns, **(altered or {})}).alias("altered"))
-    return manifest(leaves, inner)
+    return manifest(stored(leaves, "leaves"), inner)  # texts are read and hashed once
