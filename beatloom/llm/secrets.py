@@ -30,6 +30,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from beatloom.llm.store import stored
+
 DICTIONARY_BYTES = 32_768
 DICTIONARY_WORDS = 8_192  # rows that reach the driver; words have 4 letters and more
 AROUND = 512              # characters of surroundings on either side
@@ -60,9 +62,9 @@ def identifiers(docs: DataFrame) -> bytes:
     """The corpus's most saving words, the best last, where zstandard finds
     them at the least distance."""
     words = F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0)))
-    counted = docs.select(F.explode(words).alias("word")).groupBy("word").count()
-    saved = F.col("count") * F.octet_length("word")
-    best = [r["word"] for r in counted.orderBy(saved.desc(), "word").limit(DICTIONARY_WORDS).collect()]
+    counted = stored(docs.select(F.explode(words).alias("word")).groupBy("word").agg(
+        (F.count(F.lit(1)) * F.octet_length("word")).alias("saved")), "words")
+    best = [r["word"] for r in _most(counted, DICTIONARY_WORDS).orderBy(F.desc("saved"), "word").limit(DICTIONARY_WORDS).collect()]
     kept, size = [], 0
     for word in best:
         size += len(word.encode()) + 1
@@ -72,6 +74,19 @@ def identifiers(docs: DataFrame) -> bytes:
     return " ".join(reversed(kept)).encode()
 
 
+def _most(counted: DataFrame, limit: int) -> DataFrame:
+    """The rows that can be among the first ``limit`` by ``saved``, and few
+    others: tasks would each send ``limit`` rows to the driver else."""
+    class_of = F.floor(F.log2("saved") * 16)
+    classes = counted.groupBy(class_of.alias("c")).count().collect()  # some hundred, whatever the table
+    taken, least = 0, None
+    for r in sorted(classes, key=lambda r: -r["c"]):
+        if taken >= limit:
+            break
+        taken, least = taken + r["count"], r["c"]
+    return counted.where(class_of >= least) if least is not None else counted
+
+
 @lru_cache(maxsize=2)
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     options = {"write_content_size": False, "write_checksum": False}
