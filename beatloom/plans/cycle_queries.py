@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from beatloom.functions import arrays as A
 from beatloom.functions import intervals as I
+from beatloom.functions import raw_p as RAW
 from beatloom.functions import shape as S
 from beatloom.functions.st_segment import st_features as st_struct
 from beatloom.operators import template as TP
@@ -329,3 +330,18 @@ def dynamic_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = e.join(top, "record_id")
     return out.select("record_id", "cycle", _r(share, "share"),
                       F.bround((1 + 59 * share) * FS / 1000).cast("int").alias("offset_samples"))
+
+
+def p_last_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last P search ahead of the crest of every embedding, behind 1.5 times the
+    local noise and the lower quartile of its record's heights as learnt noise."""
+    c = _with_r(spark, sf_dir)
+    seg = A.span(_y(), F.lit(0), _at_r())
+    heights = c.select("record_id", F.abs(RAW.strongest(seg)["height"]).alias("size"))
+    learnt = percentiles(heights, ["record_id"], "size", {"learnt_noise": 0.25})
+    c = c.join(learnt, "record_id", "left")
+    c = c.withColumn("p", RAW.search(_y(), F.lit(0), _at_r(), 1.5, F.lit(0), F.col("learnt_noise")))
+    found = F.col("p.local") & F.col("p.learnt")
+    return c.select("record_id", "cycle", "r", F.col("p.at").alias("candidate"), _r(F.col("p.height"), "height"),
+                    F.coalesce("p.local", F.lit(False)).alias("local"), F.coalesce("p.learnt", F.lit(False)).alias("learnt"),
+                    F.when(found, F.col("p.at")).alias("p_peak"))

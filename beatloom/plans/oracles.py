@@ -268,3 +268,44 @@ SQL: dict[str, str] = {
     "rpeaks_bandpass_energy": f"WITH {TRUTH} SELECT record_id, count(*) AS gt_r_peaks, count(*) AS matched_r_peaks, count(*) AS detected_r_peaks FROM truth GROUP BY 1",
     "epoch_half_widths": f"WITH {TRUTH} SELECT record_id, round_even((max(sample) - min(sample)) / (count(*) - 1)::DOUBLE / 2, 0)::INT AS half FROM truth GROUP BY 1 HAVING count(*) >= 2",
 }
+
+
+def _last_search_sql() -> str:
+    """Turning points of either polarity, one-based in a list of samples."""
+    def candidate(name: str, sign: str) -> str:
+        d = lambda k: f"(s[{k} + 1] - s[{k}])"
+        turn = f"list_filter(range(2, n), lambda i: sign{d('(i - 1)')} {sign} sign{d('i')})"
+        steep = (f"list_filter(range(2, n - 1), lambda j: {d('j')} {sign} {d('(j - 1)')} AND {d('j')} {sign} {d('(j + 1)')} AND {d('j')} {sign} 0)")
+        tallest = f"(list_sort(list_transform({turn}, lambda i: {{'a': -abs(s[i]), 'i': i}}))[1]).i"
+        steepest = f"(list_sort(list_transform({steep}, lambda j: {{'a': -abs{d('j')}, 'i': j}}))[1]).i + 1"
+        bend = "s[u - 1] - 2 * s[u] + s[u + 1]"
+        shift = f"CASE WHEN abs({bend}) >= 2e-10 THEN greatest(-0.5, least(0.5, (s[u - 1] - s[u + 1]) / ({bend}))) ELSE 0 END"
+        plain = "list_max" if sign == ">" else "list_min"
+        return (f"{name}0 AS (SELECT *, CASE WHEN n >= 3 THEN coalesce({tallest}, {steepest}) END AS u FROM seg), "
+                f"{name} AS (SELECT record_id, cycle, coalesce(CASE WHEN u IS NOT NULL THEN round_even(u - 1 + {shift}, 0) END, "
+                f"list_position(s, {plain}(s)) - 1)::INT AS at0 FROM {name}0)")
+
+    box = lambda a: f"list_transform(range(1, n + 1), lambda i: list_sum({a}[greatest(i - h, 1) : least(i + h, n)]) / (2 * h + 1))"
+    return f"""WITH {RPK}, seg AS (SELECT record_id, cycle, y[1:r] AS s, r::BIGINT AS n FROM cyc JOIN rp USING (record_id, cycle) WHERE r > 0),
+{candidate("up", ">")}, {candidate("down", "<")},
+best AS (
+  SELECT s.*, CASE WHEN abs(s[up.at0 + 1]) >= abs(s[down.at0 + 1]) THEN up.at0 ELSE down.at0 END AS p
+  FROM seg s JOIN up USING (record_id, cycle) JOIN down USING (record_id, cycle)),
+sized AS (
+  SELECT *, s[p + 1] AS height, (greatest(3, round_even(sqrt(n), 0)::BIGINT) - 1) // 2 AS h,
+         coalesce(list_max(list_filter(range(1, p + 2), lambda i: abs(s[i]) < 0.5 * abs(s[p + 1]))), 1) AS lo,
+         coalesce(list_min(list_filter(range(p + 1, n + 1), lambda i: abs(s[i]) < 0.5 * abs(s[p + 1]))), n) AS hi FROM best),
+off AS (SELECT *, CASE WHEN height = 0 THEN 1 ELSE greatest(1, (hi - lo) // 2) END AS half, {box("s")} AS m FROM sized),
+dev AS (SELECT *, list_transform(range(1, n + 1), lambda i: abs(s[i] - m[i])) AS a FROM off),
+rolled AS (SELECT *, list_transform({box("a")}, lambda v: 1.4826::DOUBLE * v) AS d FROM dev),
+rest AS (SELECT *, list_concat(d[1 : greatest(p - half, 0)], d[p + half + 2 :]) AS o FROM rolled),
+noisy AS (SELECT *, list_aggregate(CASE WHEN len(o) > 0 THEN o ELSE d END, 'median') AS noise FROM rest),
+level AS (SELECT record_id, quantile_cont(abs(height), 0.25) AS learnt FROM best JOIN sized USING (record_id, cycle) GROUP BY record_id),
+judged AS (SELECT record_id, cycle, p, height, n >= 3 AND (noise <= 1e-9 OR abs(height) >= 1.5 * noise) AS near, abs(height) >= learnt AS far
+           FROM noisy JOIN level USING (record_id))
+SELECT record_id, cycle, rp.r, p AS candidate, round(height, 6) AS height, coalesce(near, false) AS local, coalesce(far, false) AS learnt,
+       CASE WHEN near AND far THEN p END AS p_peak
+FROM rp LEFT JOIN judged USING (record_id, cycle)"""
+
+
+SQL["p_last_search"] = _last_search_sql()
