@@ -1,5 +1,6 @@
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from beatloom.llm import token_rollup as tr
@@ -48,6 +49,55 @@ def test_totals_are_written_in_several_tasks(spark, tmp_path):
     assert got.count() == 200
 
 
+ROWS = "source string, lang string, version string, tokens long"
+
+
+def test_success_markers_play_no_part(spark, tmp_path):
+    conf, key = spark._jsc.hadoopConfiguration(), "mapreduce.fileoutputcommitter.marksuccessfuljobs"
+    old = conf.get(key)
+    conf.set(key, "false")
+    try:
+        rollup = tr.Rollup(spark, str(tmp_path / "rollup"))
+        rows = spark.createDataFrame([("a", "en", "v1", 5)], ROWS)
+        assert rollup.commit("1", tr.inserts(rows)) and rollup.commit("2", tr.inserts(rows)) and not rollup.commit("1", tr.inserts(rows))
+        assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "v1", 2, 10)]
+    finally:
+        conf.unset(key) if old is None else conf.set(key, old)
+
+
+def test_one_of_two_committers_is_refused(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "en", "v1", 5)], ROWS)
+    other = tr.Rollup(spark, str(tmp_path / "rollup"))
+
+    class Overtaken(tr.Rollup):
+        def _publish(self, number, batch, totals):
+            other.commit("first", tr.inserts(rows))
+            super()._publish(number, batch, totals)
+
+    slow = Overtaken(spark, other.path)
+    with pytest.raises(tr.Conflict):
+        slow.commit("second", tr.inserts(rows))
+    assert [tuple(r) for r in other.totals().collect()] == [("a", "en", "v1", 1, 5)]
+    assert tr.Rollup(spark, other.path).commit("second", tr.inserts(rows))
+    assert [tuple(r) for r in other.totals().collect()] == [("a", "en", "v1", 2, 10)]
+
+
+def test_old_totals_are_removed_and_batches_remembered(spark, tmp_path):
+    rollup = tr.Rollup(spark, str(tmp_path / "rollup"))
+    rows = spark.createDataFrame([("a", "en", "v1", 1)], ROWS)
+    for k in range(6):
+        assert rollup.commit(f"b{k}", tr.inserts(rows))
+    assert len(list((tmp_path / "rollup").glob("totals-*"))) == tr.KEEP
+    assert not any(rollup.commit(f"b{k}", tr.inserts(rows)) for k in range(6))
+    assert [r["n_tokens"] for r in rollup.totals().collect()] == [6]
+
+
+def test_clashing_columns(spark, tmp_path):
+    rollup = tr.Rollup(spark, str(tmp_path / "rollup"))
+    rows = spark.createDataFrame([("a", "en", "v1", 5, "x", 3, 4)], ROWS + ", batch string, n_docs int, r int")
+    assert rollup.commit("1", tr.inserts(rows)) and [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "v1", 1, 5)]
+
+
 def test_query(spark):
     sf, codec = "/root/testdata/sf0.001", byte_bpe().codec()
     toxic = {r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 1").collect()}
