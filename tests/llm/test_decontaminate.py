@@ -88,16 +88,43 @@ def test_clean(spark):
     assert got[1] == (1, "é ! fin ", 8, "k") and got[2] == (2, "uno dos", 7, "k") and got[None] == (None,) * 4
 
 
-def test_blocks_are_searched_one_after_another(spark, monkeypatch):
+def test_blocks_are_searched_in_the_workers(spark, monkeypatch):
     monkeypatch.setattr(dc, "PHRASE_BYTES", 100)
     data, items = rows()
-    made, write, events = dc.Phrases.of, getattr(dc, "stored", None), []
-    monkeypatch.setattr(dc.Phrases, "of", lambda found: events.append("made" if found else "none") or made(found))
-    monkeypatch.setattr(dc, "stored", lambda *a: events.append("written") or write(*a), raising=False)
+    for name in ("of", "made"):  # no block is made on the driver
+        monkeypatch.setattr(dc.Phrases, name, None)
     docs = spark.createDataFrame(data + data[:3], "doc_id long, text string")
     got = dc.find(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
-    after = [b for a, b in zip(events, events[1:]) if a == "made"]
-    assert len(after) > 3 and set(after) == {"written"}
     for r in got:
         assert (r["hits"]["n_words"], r["hits"]["n_hit"], sorted(r["hits"]["items"])) == brute(r["text"], items)
     assert len(got) == len(data) + 3
+
+
+def test_long_item_in_pieces_and_text_under_many_ids(spark, monkeypatch):
+    monkeypatch.setattr(dc, "PHRASE_BYTES", 5000)
+    rng = random.Random(9)
+    long = [f"v{rng.randrange(300)}" for _ in range(2 * dc.PIECE + 500)]
+    shared = "one passage that stands under very many item ids at once here"
+    items = [("long", " ".join(long)), ("long", " ".join(long))] + [(f"i{k}", shared) for k in range(20_000)]
+    cut = [" ".join(long[k : k + 12]) for k in (0, dc.PIECE - 6, dc.PIECE, 2 * dc.PIECE - 11, len(long) - 12)]
+    data = [(k, f"Before, {c.upper()}. After") for k, c in enumerate(cut)] + [(9, " ".join(long)), (10, shared), (11, f"x {shared} {cut[1]}"), (12, "v1 v2 v3")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    monkeypatch.setattr(dc, "ITEMS_AT_ONCE", 100)
+    got = {r["doc_id"]: r for r in dc.find(spark.createDataFrame(data, "doc_id long, text string").coalesce(1), bench).collect()}
+    ids = sorted(f"i{k}" for k in range(20_000))
+    for k in range(5):
+        assert got[k]["hits"]["n_hit"] == 12 and got[k]["hits"]["items"] == ["long"]
+    assert got[9]["hits"]["n_hit"] == len(long) and got[10]["hits"]["items"] == ids and got[10]["hits"]["n_hit"] == 12
+    assert got[11]["hits"]["items"] == [*ids, "long"] and [s["last"] - s["first"] for s in got[11]["hits"]["spans"]] == [23]
+    assert got[12]["hits"]["n_hit"] == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="abcé .A0", max_size=60), max_size=6), st.lists(st.text(alphabet="abcé .A", max_size=30), min_size=2, max_size=6))
+def test_hits_of_several_blocks_in_one_index(texts, phrases):
+    items = list(enumerate(phrases))
+    blocks = [dc.Phrases.of(items[k::2]) for k in range(2)]
+    shard = dc.Shard([t.encode() for t in texts], *dc.vocabulary(blocks))
+    for b in blocks:
+        shard.search(b)
+    assert [(n, sum(b - a + 1 for a, b, *_ in spans), sorted(found)) for n, spans, found in shard.hits()] == [brute(t, items) for t in texts]
