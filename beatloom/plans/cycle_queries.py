@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from beatloom.functions import arrays as A
+from beatloom.functions import edges as ED
 from beatloom.functions import intervals as I
 from beatloom.functions import raw_p as RAW
 from beatloom.functions import shape as S
@@ -345,3 +346,19 @@ def p_last_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("record_id", "cycle", "r", F.col("p.at").alias("candidate"), _r(F.col("p.height"), "height"),
                     F.coalesce("p.local", F.lit(False)).alias("local"), F.coalesce("p.learnt", F.lit(False)).alias("learnt"),
                     F.when(found, F.col("p.at")).alias("p_peak"))
+
+
+def smooth_derivative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slope of the parabolas fitted over 20 ms, at every sample."""
+    out = T.cycles(spark, sf_dir).withColumn("d", ED.smooth_derivative(_y(), FS))
+    return _samples(out, "d", "slope")
+
+
+def wave_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both edges of the crest of every cycle, by slope and baseline."""
+    c = _with_r(spark, sf_dir)
+    c = c.withColumns({side: ED.edge(_y(), _at_r(), FS, side) for side in ("left", "right")})
+    parts = [p for side in ("left", "right") for p in (
+        F.col(f"{side}.at").alias(f"{side}_edge"), F.col(f"{side}.found").alias(f"{side}_found"),
+        _r(F.col(f"{side}.max_slope"), f"{side}_max_slope"), _r(F.col(f"{side}.baseline"), f"{side}_baseline"))]
+    return c.select("record_id", "cycle", "r", *parts)

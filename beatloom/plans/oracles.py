@@ -309,3 +309,40 @@ FROM rp LEFT JOIN judged USING (record_id, cycle)"""
 
 
 SQL["p_last_search"] = _last_search_sql()
+
+
+def _slope_of(part: str) -> str:
+    """Columns sm and d of rows (part, k, m, v): parabolas over five samples,
+    the outermost one at the ends, and central differences."""
+    w = f"(PARTITION BY {part} ORDER BY k)"
+    go = lambda j: "v" if not j else f"{'lead' if j > 0 else 'lag'}(v, {abs(j)}) OVER {w}"
+    fit = lambda weights, j: "(" + " + ".join(f"({a}) * {go(j + n)}" for n, a in enumerate(weights)) + ") / 35.0::DOUBLE"
+    first, second = (31, 9, -3, -5, 3), (9, 13, 12, 6, -5)
+    return f"""smoothed AS (SELECT *, CASE WHEN k = 0 THEN {fit(first, 0)} WHEN k = 1 THEN {fit(second, -1)}
+  WHEN k = m - 1 THEN {fit(first[::-1], -4)} WHEN k = m - 2 THEN {fit(second[::-1], -3)}
+  ELSE {fit((-3, 12, 17, 12, -3), -2)} END AS sm FROM stretch WHERE m >= 5),
+sloped AS (SELECT *, CASE WHEN k = 0 THEN lead(sm) OVER {w} - sm WHEN k = m - 1 THEN sm - lag(sm) OVER {w}
+  ELSE (lead(sm) OVER {w} - lag(sm) OVER {w}) / 2 END AS d FROM smoothed)"""
+
+
+SQL["smooth_derivative"] = f"""WITH {SMP},
+stretch AS (SELECT record_id, cycle, i AS k, 64 AS m, v FROM smp), {_slope_of("record_id, cycle")}
+SELECT record_id, cycle, k AS i, round(d, 6) AS slope FROM sloped"""
+SQL["wave_edges"] = f"""WITH {RPK},
+sides AS (SELECT record_id, cycle, r, side, CASE side WHEN 'left' THEN greatest(r - 50, 0) ELSE r END AS lo,
+  CASE side WHEN 'left' THEN r ELSE least(r + 50, n - 1) END AS hi FROM rp, (VALUES ('left'), ('right')) s(side)),
+bases AS (SELECT s.record_id, s.cycle, side, median(v) AS baseline FROM sides s JOIN smp USING (record_id, cycle)
+  WHERE CASE side WHEN 'left' THEN i BETWEEN lo - 15 AND lo ELSE i BETWEEN hi AND hi + 15 END GROUP BY ALL),
+stretch AS (SELECT s.record_id, s.cycle, r, side, i, i - lo AS k, hi - lo + 1 AS m, v
+  FROM sides s JOIN smp USING (record_id, cycle) WHERE i BETWEEN lo AND hi), {_slope_of("record_id, cycle, side")},
+steep AS (SELECT *, max(abs(d)) OVER (PARTITION BY record_id, cycle, side) AS max_slope FROM sloped),
+near AS (SELECT record_id, cycle, side, any_value(max_slope) AS max_slope,
+  CASE side WHEN 'left' THEN max(i) FILTER (WHERE ok) ELSE min(i) FILTER (WHERE ok) END AS edge FROM (
+    SELECT steep.*, max_slope > 0 AND abs(d) <= 0.2 * max_slope AND abs(v - baseline) <= 0.05 * max_slope AS ok
+    FROM steep JOIN bases USING (record_id, cycle, side)) GROUP BY record_id, cycle, side),
+one AS (SELECT s.record_id, s.cycle, s.r, s.side, coalesce(edge, r) AS edge, edge IS NOT NULL AS found, max_slope, baseline
+  FROM sides s JOIN bases USING (record_id, cycle, side) LEFT JOIN near USING (record_id, cycle, side))
+SELECT record_id, cycle, any_value(r) AS r, """ + ", ".join(
+    f"any_value({what}) FILTER (WHERE side = '{side}') AS {side}_{name}" for side in ("left", "right") for what, name in (
+        ("edge", "edge"), ("found", "found"), ("round(max_slope, 6)", "max_slope"), ("round(baseline, 6)", "baseline"))) + """
+FROM one GROUP BY record_id, cycle"""
