@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import (
     Imputer, StandardScaler, UnivariateFeatureSelector, VarianceThresholdSelector, VectorAssembler,
 )
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,23 +62,34 @@ def evaluate_models(
     part = F.pmod(F.xxhash64(F.col("subject"), F.lit(seed)), F.lit(5 * (folds or 1)))
     rows = encode(subjects).withColumn("part", part)
     train = rows.where("part % 5 > 0").withColumn("fold", F.floor(F.col("part") / 5).cast("int"))
-    test = rows.where("part % 5 = 0")
-    rows, fitted = [], {}
-    for name, model in regressors(seed).items():
-        if models is not None and name not in models:
-            continue
-        pipe = Pipeline(stages=[*feature_stages(features, top_k), model])
-        cv_mae = None
-        if folds:
-            scorer = RegressionEvaluator(metricName="mae")
-            cv = CrossValidator(estimator=pipe, estimatorParamMaps=ParamGridBuilder().build(), evaluator=scorer,
-                                numFolds=folds, foldCol="fold", seed=seed, parallelism=folds).fit(train)
-            cv_mae, fitted[name] = float(cv.avgMetrics[0]), cv.bestModel
-        else:
-            fitted[name] = pipe.fit(train)
-        out = fitted[name].transform(test)
-        rows.append((name, cv_mae, *[float(RegressionEvaluator(metricName=m).evaluate(out)) for m in METRICS]))
-    return spark.createDataFrame(rows, "model string, cv_mae double, mae double, rmse double, r2 double"), fitted
+    chosen = {n: m for n, m in regressors(seed).items() if models is None or n in models}
+    scores: dict[str, list[float]] = {n: [] for n in chosen}
+    for k in range(folds or 0):
+        _, made = _fitted(train.where(F.col("fold") != k), train.where(F.col("fold") == k), features, top_k, chosen, ("mae",))
+        for name, (_, metrics) in made.items():
+            scores[name] += metrics
+    stages, made = _fitted(train, rows.where("part % 5 = 0"), features, top_k, chosen, METRICS)
+    out = [(n, sum(scores[n]) / folds if folds else None, *metrics) for n, (_, metrics) in made.items()]
+    fitted = {n: PipelineModel([*stages, model]) for n, (model, _) in made.items()}
+    return spark.createDataFrame(out, "model string, cv_mae double, mae double, rmse double, r2 double"), fitted
+
+
+def _fitted(
+    train: DataFrame, test: DataFrame, features: list[str], top_k: int | None, models: dict, metrics: tuple[str, ...],
+) -> tuple[list, dict]:
+    """Fitted feature stages, and by name each model with its metrics on
+    ``test``.  The stages are fitted once and their vectors kept for all models."""
+    prepared = Pipeline(stages=feature_stages(features, top_k)).fit(train)
+    own, other = (prepared.transform(df).select("label", "features").persist() for df in (train, test))
+    made = {}
+    for name, model in models.items():
+        fitted = model.fit(own)
+        guess = fitted.transform(other).persist()
+        made[name] = fitted, [float(RegressionEvaluator(metricName=m).evaluate(guess)) for m in metrics]
+        guess.unpersist()
+    own.unpersist()
+    other.unpersist()
+    return prepared.stages, made
 
 
 def importances(pipeline, features: list[str], top: int = 20) -> list[tuple[str, float]]:
