@@ -11,9 +11,12 @@ from beatloom.functions import intervals as I
 from beatloom.functions import raw_p as RAW
 from beatloom.functions import shape as S
 from beatloom.functions.st_segment import st_features as st_struct
+from beatloom.operators import bridging as BR
 from beatloom.operators import template as TP
 from beatloom.operators.quantiles import percentiles
 from beatloom.plans import tables as T
+from beatloom.session import written
+from beatloom.sources.recordings import from_samples
 
 FS = T.NOMINAL_FS
 REACH = 38  # 150 ms at the nominal rate
@@ -362,3 +365,31 @@ def wave_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col(f"{side}.at").alias(f"{side}_edge"), F.col(f"{side}.found").alias(f"{side}_found"),
         _r(F.col(f"{side}.max_slope"), f"{side}_max_slope"), _r(F.col(f"{side}.baseline"), f"{side}_baseline"))]
     return c.select("record_id", "cycle", "r", *parts)
+
+
+def _strip_chunks(strips: DataFrame) -> DataFrame:
+    """Strips cut into chunks of 5 s with halos of 2 s."""
+    samples = strips.select("record_id", "place", F.posexplode("y").alias("i", "y")).select(
+        "record_id", F.lit(FS).alias("fs"), (F.col("place") + F.col("i")).alias("idx"), "y")
+    return written(from_samples(samples, 5.0, 2.0))
+
+
+def _core_samples(chunks: DataFrame) -> DataFrame:
+    core = F.slice("y", F.col("lead") + 1, F.col("core"))
+    at = F.col("start") + F.col("lead")
+    return chunks.select("record_id", at.alias("at"), F.posexplode(core).alias("i", "v")).select(
+        "record_id", (F.col("at") + F.col("i")).alias("idx"), _r(F.col("v"), "y"))
+
+
+def baseline_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sample of the strips less its running cubics of 750 ms and 2 s."""
+    return _core_samples(BR.remove_baseline(_strip_chunks(T.strips(spark, sf_dir))))
+
+
+def qrs_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sample of the strips with bridges over their beats, one for each
+    embedding: the largest excursion of its middle 16 samples."""
+    strips = written(T.strips(spark, sf_dir))
+    middle = A.span(_y(), F.lit(24), F.lit(40))
+    beats = strips.select("record_id", (F.col("place") + 24 + A.argmax_abs(middle)).alias("r_idx"))
+    return _core_samples(BR.remove_qrs(_strip_chunks(strips), beats))

@@ -346,3 +346,35 @@ SELECT record_id, cycle, any_value(r) AS r, """ + ", ".join(
     f"any_value({what}) FILTER (WHERE side = '{side}') AS {side}_{name}" for side in ("left", "right") for what, name in (
         ("edge", "edge"), ("found", "found"), ("round(max_slope, 6)", "max_slope"), ("round(baseline, 6)", "baseline"))) + """
 FROM one GROUP BY record_id, cycle"""
+
+
+STRIPS = SMP + """, placed AS (SELECT record_id, cycle, (row_number() OVER (PARTITION BY record_id ORDER BY cycle) - 1) * 64 AS place FROM cyc),
+strip AS (SELECT record_id, cycle, i, place + i AS idx, v AS y FROM smp JOIN placed USING (record_id, cycle))"""
+
+
+def _less_cubic(name: str, source: str, half: int) -> str:
+    """Rows less the cubics' middle values, from moments over sliding frames of
+    the rows with their outermost samples repeated."""
+    n, k2 = 2 * half + 1, sum(k * k for k in range(-half, half + 1))
+    k4 = sum(k**4 for k in range(-half, half + 1))
+    over = f"OVER (PARTITION BY record_id ORDER BY idx ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING)"
+    return f"""{name}_ends AS (SELECT record_id, min(idx) AS a, max(idx) AS b, arg_min(y, idx) AS ya, arg_max(y, idx) AS yb FROM {source} GROUP BY record_id),
+{name}_all AS (SELECT record_id, idx, y FROM {source}
+  UNION ALL SELECT record_id, a - k, ya FROM {name}_ends, range(1, {half} + 1) t(k) UNION ALL SELECT record_id, b + k, yb FROM {name}_ends, range(1, {half} + 1) t(k)),
+{name}_sums AS (SELECT record_id, idx, y, sum(y) {over} AS m0, sum(y * idx) {over} AS m1, sum(y * idx * idx) {over} AS m2 FROM {name}_all),
+{name} AS (SELECT record_id, idx, y - ({k4}::DOUBLE * m0 - {k2}::DOUBLE * (m2 - 2 * idx * m1 + idx * idx * m0)) / {n * k4 - k2 * k2}::DOUBLE AS y
+  FROM {name}_sums JOIN {name}_ends USING (record_id) WHERE idx BETWEEN a AND b)"""
+
+
+SQL["baseline_removed"] = f"""WITH {STRIPS}, {_less_cubic("fast", "strip", 94)}, {_less_cubic("slow", "fast", 250)}
+SELECT record_id, idx, round(y, 6) AS y FROM slow"""
+SQL["qrs_removed"] = f"""WITH {STRIPS},
+beat AS (SELECT record_id, cycle, arg_max(idx, (abs(y), -idx)) AS r FROM strip WHERE i BETWEEN 24 AND 39 GROUP BY record_id, cycle),
+rr AS (SELECT record_id, r, coalesce(r - lag(r) OVER w, lead(r) OVER w - r, 200) AS rr FROM beat WINDOW w AS (PARTITION BY record_id ORDER BY r)),
+span AS (SELECT record_id, greatest(0, r - CAST(round(rr / 3.0::DOUBLE) AS BIGINT)) AS a, r + 20 AS b FROM rr),
+level AS (SELECT span.record_id, a, b,
+  coalesce(avg(y) FILTER (WHERE idx < a AND idx >= a - 2), any_value(y) FILTER (WHERE idx = a)) AS y1, avg(y) FILTER (WHERE idx >= b) AS y2
+  FROM span JOIN strip ON strip.record_id = span.record_id AND idx BETWEEN a - 2 AND b + 1 GROUP BY ALL)
+SELECT s.record_id, idx, round(CASE WHEN a IS NULL THEN y
+  ELSE (y2 - y1) / (1 + exp(6 - 12 * (idx - a)::DOUBLE / (b - a - 1))) + y1 END, 6) AS y
+FROM strip s LEFT JOIN level l ON s.record_id = l.record_id AND idx >= a AND idx < b"""

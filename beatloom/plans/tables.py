@@ -44,6 +44,14 @@ def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def strips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One recording per label: its embeddings laid end to end in order of their
+    ids, as (record_id, cycle, place, y), ``place`` being the first sample's."""
+    sized = cycles(spark, sf_dir).withColumn("n", F.size("y").cast("long"))
+    rows = sequence(sized, ["record_id"], ["cycle"]).running_sum("n", "upto").rows()
+    return rows.select("record_id", "cycle", (F.col("upto") - F.col("n")).alias("place"), "y")
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wave edges in samples for every lineitem row, some missing, some out of
     order."""
