@@ -180,7 +180,7 @@ def _line_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def variability_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     feats = _line_features(spark, sf_dir)
     names = [c for c in feats.columns if c != "record_id"]
-    out = V.variability_long(V.to_long(feats, ["record_id"], names), ["record_id"])
+    out = V.variability(feats, ["record_id"], names)
     return out.select("record_id", "feature", *[_r(F.col(s), s) for s in V.STATS])
 
 

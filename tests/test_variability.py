@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 
 from beatloom.operators import variability as V
+from beatloom.plans import series_queries
+from tests.conftest import SF_DIR
 
 ROWS = [(r, float((7 * i * r) % 31) if i % 5 else None, [0.5, -0.5, math.nan, math.inf][i % 4] if r == 3 else i / 8)
         for r in (1, 2, 3) for i in range(40 * r)] + [(4, 1.0, None), (5, None, None), (None, 1.0, 2.0), (None, 2.0, 3.0)]
@@ -27,3 +29,8 @@ def test_rows_of_a_record_move_once(spark):
     df = spark.createDataFrame(ROWS, "record_id int, a double, b double").repartition(3)
     plan = V.variability(df, ["record_id"], ["a", "b"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "rangepartitioning" not in plan
+
+
+def test_the_long_query_moves_rows_once(spark):
+    plan = series_queries.variability_long(spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "rangepartitioning" not in plan
