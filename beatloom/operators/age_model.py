@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import (
@@ -12,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 METRICS = ("mae", "rmse", "r2")
+PARALLEL = 6  # fits at once: boosting runs hundreds of short jobs that leave cores idle between them
 
 
 def encode(subjects: DataFrame) -> DataFrame:
@@ -63,12 +67,12 @@ def evaluate_models(
     rows = encode(subjects).withColumn("part", part)
     train = rows.where("part % 5 > 0").withColumn("fold", F.floor(F.col("part") / 5).cast("int"))
     chosen = {n: m for n, m in regressors(seed).items() if models is None or n in models}
-    scores: dict[str, list[float]] = {n: [] for n in chosen}
-    for k in range(folds or 0):
-        _, made = _fitted(train.where(F.col("fold") != k), train.where(F.col("fold") == k), features, top_k, chosen, ("mae",))
-        for name, (_, metrics) in made.items():
-            scores[name] += metrics
-    stages, made = _fitted(train, rows.where("part % 5 = 0"), features, top_k, chosen, METRICS)
+    parts = [(train.where(F.col("fold") != k), train.where(F.col("fold") == k), ("mae",)) for k in range(folds or 0)]
+    parts.append((train, rows.where("part % 5 = 0"), METRICS))
+    fit = inheritable_thread_target(spark)(lambda own, other, metrics: _fitted(own, other, features, top_k, chosen, metrics))
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        *crossed, (stages, made) = pool.map(fit, *zip(*parts))
+    scores = {n: [m for _, by_name in crossed for m in by_name[n][1]] for n in chosen}
     out = [(n, sum(scores[n]) / folds if folds else None, *metrics) for n, (_, metrics) in made.items()]
     fitted = {n: PipelineModel([*stages, model]) for n, (model, _) in made.items()}
     return spark.createDataFrame(out, "model string, cv_mae double, mae double, rmse double, r2 double"), fitted
